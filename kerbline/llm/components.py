@@ -1,0 +1,43 @@
+"""Connected components by contraction, all in DataFrames.
+
+In each round every node takes the least name among its neighbours and itself, edges are renamed by that, and edges
+within one name go.  An edge keeps joining the groups at its ends, so when none is left all nodes of a component have
+one name, and that is its least node, which never changes its own.  Rounds grow with the logarithm of the longest path.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import remove_table, written
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """For edges (a, b): one row per node that has an edge, (node, label) with the least node of its component."""
+    spark = edges.sparkSession
+    left, at = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels, labels_at = None, None
+    while True:
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        names, names_at = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("name")), "names")
+        if labels is None:
+            labels, labels_at = names.select("node", F.col("name").alias("label")), names_at
+        else:
+            old_at = labels_at
+            renamed = labels.join(names.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("name", "label").alias("label"))
+            labels, labels_at = written(renamed, "labels")
+            remove_table(spark, old_at)
+        old = at
+        to = names.select("node", "name")
+        renamed = (
+            left.join(to.select(F.col("node").alias("a"), F.col("name").alias("na")), "a")
+            .join(to.select(F.col("node").alias("b"), F.col("name").alias("nb")), "b")
+            .filter("na <> nb")
+            .select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+            .distinct()
+        )
+        left, at = written(renamed, "edges")
+        remove_table(spark, old)
+        if left.isEmpty():
+            return labels

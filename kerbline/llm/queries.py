@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, secret_scan, sharding
+from . import decontam, mixing, neardup, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": mixing.op1,
         "op2_secret_ledger": secret_scan.op2,
         "op4_winnowing": decontam.op4,
+        "op9_signature_join": neardup.op9,
         "op10_sharding": sharding.op10,
     }
 
