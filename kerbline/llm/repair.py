@@ -13,11 +13,11 @@ import numpy as np
 
 #: Ids of a block at most, besides the rest of a document.
 BLOCK_IDS = 1 << 20
-ROUNDS = 5
+ROUNDS = 3
 #: New rules of a round at most, and how often a pair must occur to get one.
 RULES = 4096
 LEAST = 24
-_BUCKETS = 20
+_BUCKETS = 17
 
 
 class Block(NamedTuple):
@@ -27,13 +27,31 @@ class Block(NamedTuple):
     symbols: np.ndarray  # uint32
 
 
-def _frequent(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs that may be frequent, and the pairs there as 64 bits."""
+def _frequent(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pairs, as (left, right) rows; positions that hold one; and which one each holds.
+
+    Pairs are counted by hash bucket.  A bucket stands for one of the pairs in it, so a frequent pair can go unseen for
+    a round, but what is returned is exact.
+    """
     left, right = symbols[:-1], symbols[1:]
     bucket = (left * np.uint32(0x9E3779B1) ^ (right * np.uint32(0x85EBCA77) + np.uint32(1))) >> np.uint32(32 - _BUCKETS)
     counts = np.bincount(bucket, minlength=1 << _BUCKETS)
-    at = np.flatnonzero(counts[bucket] >= LEAST)
-    return at, (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
+    top = np.flatnonzero(counts >= LEAST)
+    if len(top) > RULES:
+        top = top[np.argsort(-counts[top], kind="stable")[:RULES]]
+    rank = np.full(1 << _BUCKETS, -1, np.int32)
+    rank[top] = np.arange(len(top))
+    of = rank[bucket]
+    at = np.flatnonzero(of >= 0)
+    of, left, right = of[at], left[at], right[at]
+    pairs = np.zeros((len(top), 2), np.uint32)
+    pairs[of, 0], pairs[of, 1] = left, right
+    same = (pairs[of, 0] == left) & (pairs[of, 1] == right)
+    at, of = at[same], of[same]
+    enough = np.bincount(of, minlength=len(top)) >= LEAST
+    number = np.cumsum(enough) - 1
+    kept = enough[of]
+    return pairs[enough], at[kept], number[of[kept]]
 
 
 def _apart(at: np.ndarray) -> np.ndarray:
@@ -54,27 +72,20 @@ def compress(ids: np.ndarray, base: int) -> Block:
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        at, pairs = _frequent(symbols)
-        kinds, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        chosen = np.flatnonzero(counts >= LEAST)
-        if len(chosen) > RULES:
-            chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:RULES]])
-        if not len(chosen):
+        pairs, at, which = _frequent(symbols)
+        if not len(pairs):
             break
-        names = np.full(len(kinds), -1, np.int64)
-        names[chosen] = base + made + np.arange(len(chosen))
-        hit = names[inverse] >= 0
-        at, new = at[hit], names[inverse][hit]
         keep = _apart(at)
-        new = new[np.searchsorted(at, keep)]
+        which = which[np.searchsorted(at, keep)]
         symbols = symbols.copy()
-        symbols[keep] = new.astype(np.uint32)
-        symbols = np.delete(symbols, keep + 1)
-        pair = np.stack([kinds[chosen] >> np.uint64(32), kinds[chosen] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
+        symbols[keep] = (base + made + which).astype(np.uint32)
+        stays = np.ones(len(symbols), bool)
+        stays[keep + 1] = False
+        symbols = symbols[stays]
         known = np.concatenate([np.ones(base, np.uint32), lengths])
-        lengths = np.concatenate([lengths, known[pair[:, 0]] + known[pair[:, 1]]])
-        rules.append(pair.astype(np.uint32))
-        made += len(chosen)
+        lengths = np.concatenate([lengths, known[pairs[:, 0]] + known[pairs[:, 1]]])
+        rules.append(pairs)
+        made += len(pairs)
     return Block(base, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), lengths, symbols)
 
 

@@ -5,9 +5,10 @@ whole documents, about `repair.BLOCK_IDS` ids, as a grammar: rules, their expans
 beside the ids and lengths of its documents.  The files are Parquet, written by Spark's own committer to whatever store
 the path names, so a lost executor costs its unfinished block files alone; the table of blocks is the index.
 
-Encoding uses the tokenizers library.  A text is cut where the tokenizer's own split can be foretold (runs of letters,
-with one white space before, and what lies between them), each distinct piece is encoded once per worker, and a text in
-which a cut might not be safe is encoded whole.  The memory of pieces is bounded; beyond it, pieces are encoded again.
+Encoding uses the tokenizers library.  A text is cut where the tokenizer's own split can be foretold (before single
+spaces; further into runs of letters, with one white space before, and what lies between them), each distinct word and
+piece is encoded once per worker, and a text in which a cut might not be safe is encoded whole.  The memory of words and
+of pieces is bounded; what does not fit is encoded again each time.
 
 Defined results: a null text counts as empty and is the end id alone; a null id sorts first; repeated rows are stored as
 often as they come, rows of one id in the order of their texts; an empty table gives an empty result; other columns
@@ -16,6 +17,7 @@ are left out.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -24,6 +26,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +36,8 @@ from . import repair
 from .shared import written
 
 END = 0
-PIECES = 500_000
+#: Words, and pieces of words, that a worker remembers: about 100 MB.
+REMEMBERED = 400_000
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, doc_lengths array<long>, base int, rules binary, lengths binary, symbols binary"
 
 _SPACE = " \t\n\r\x0b\x0c   -     　"
@@ -44,35 +49,116 @@ _APOSTROPHE = re.compile(r"(?<![^\W\d_])'(?=[dlmrstv])", re.IGNORECASE)
 _ODD = ("<|", "\x85", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
+def _symbols() -> str:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(others)) for b in range(256))
+
+
+_SYMBOLS = _symbols()
+
+
 class Encoder:
-    """Encodes texts with one tokenizer file, remembering pieces."""
+    """Encodes texts with one tokenizer file, remembering words and pieces of words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        config = json.loads(self.tokenizer.to_str())
+        split = config["pre_tokenizer"] or {}
+        #: Whether texts can be cut as described above; else every text is encoded whole.
+        self.cuts = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not config["normalizer"] and not config["post_processor"]
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.words: dict[str, bytes] = {}  # without the space before
+        self.pieces: dict[str, bytes] = {}
+
+    def _one(self, piece: str) -> bytes:
+        """The ids of a run of letters with a space or nothing before it, which the tokenizer takes as one unit."""
+        return np.array([t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_SYMBOLS))], np.uint32).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _by_pieces(self, text: str) -> bytes:
+        known, found = self.pieces, []
+        for x in _PIECE.findall(text):
+            ids = known.get(x)
+            if ids is None:
+                # letters to Python's expressions, but not to the tokenizer: numbers such as superscripts
+                if x[-1].isalnum() and not x[-1].isdecimal() and not x.strip().replace("'", "").isalpha():
+                    return self._plain(text)
+                ids = self._one(x) if (x[1:] if x[0] == " " else x).isalpha() else self._plain(x)
+                if len(known) < REMEMBERED:
+                    known[x] = ids
+            found.append(ids)
+        return b"".join(found)
+
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a word with the space before it; None if its neighbours could matter."""
+        ids = self.words.get(word)
+        if ids is None:
+            if not word or word[0].isspace() or word[-1].isspace():
+                return None
+            ids = self._by_pieces(" " + word)
+            if len(self.words) < REMEMBERED:
+                self.words[word] = ids
+        return ids
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text.
+
+        A space between two other characters always begins a token, so words can be encoded one by one, and each
+        distinct word of a batch once.
+        """
+        if not len(texts):
+            return []
+        if not self.cuts:
+            return [np.frombuffer(self._plain(t), np.uint32) for t in texts.to_pylist()]
+        lists = pc.split_pattern(texts, " ")
+        words = pc.dictionary_encode(lists.flatten())
+        which = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+        first = np.concatenate([[0], first[:-1]])
+        own = np.bincount(np.delete(which, first), minlength=len(words.dictionary)) > 0
+        table = [self._word(w) if used else b"" for w, used in zip(words.dictionary.to_pylist(), own, strict=True)]
+        unsafe = np.array([ids is None for ids in table])
+        heads = pc.list_element(lists, 0).to_pylist()
+        odd = np.zeros(len(texts), bool)
+        for mark in (*_ODD, "'"):
+            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        bad = np.add.reduceat(unsafe[which] & ~np.isin(np.arange(len(which)), first), first) > 0
+        table = [ids or b"" for ids in table]
+        empty = len(table)
+        table.append(b"")
+        stop = np.concatenate([first[1:], [len(which)]])
+        for i, head in enumerate(heads):
+            if odd[i] or bad[i] or not head or head[-1].isspace():
+                text = texts[i].as_py()
+                odd_one = any(x in text for x in _ODD) or _APOSTROPHE.search(text)
+                whole = odd_one or bad[i] or not head or head[-1].isspace()
+                if whole:
+                    which[first[i] : stop[i]] = empty
+                    table.append(self._plain(text) if odd_one else self._by_pieces(text))
+                else:
+                    table.append(self._by_pieces(head))
+            else:
+                table.append(self._by_pieces(head))
+            which[first[i]] = len(table) - 1
+        sizes = np.array([len(x) >> 2 for x in table], np.int64)
+        flat = np.frombuffer(b"".join(table), np.uint32)
+        ids = flat[_ranges((np.cumsum(sizes) - sizes)[which], sizes[which])]
+        ends = np.cumsum(np.add.reduceat(sizes[which], first))
+        return np.split(ids, ends[:-1])
 
     def __call__(self, text: str) -> np.ndarray:
-        if any(x in text for x in _ODD) or ("'" in text and _APOSTROPHE.search(text)):
-            return self._plain(text)
-        pieces = _PIECE.findall(text)
-        known = self.known
-        new = [x for x in set(pieces) if x not in known]
-        if new:
-            # letters to Python's expressions, but not to the tokenizer: numbers such as superscripts
-            if any(x[-1:].isalnum() and x[-1] not in "0123456789" and not x.strip().replace("'", "").isalpha() for x in new):
-                return self._plain(text)
-            fresh = {x: np.array(e.ids, np.uint32).tobytes() for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            if len(known) + len(fresh) <= PIECES:
-                known.update(fresh)
-            else:
-                return np.frombuffer(b"".join([known.get(x) or fresh.get(x, b"") for x in pieces]), np.uint32)
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
+        return self.batch(pa.array([text], pa.string()))[0]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
 
 
 def encoder(path: str) -> Encoder:
@@ -99,17 +185,36 @@ def blocks_of(docs: Iterable[tuple[int, np.ndarray]], most: int) -> Iterator[tup
         yield keys, parts
 
 
+def slices(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
+    """Offset and length of runs of texts with about `most` bytes."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+    for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(group)) + 1):
+        if len(at):
+            yield int(at[0]), len(at)
+
+
 def _encode_shard(path: str, end: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema(
+        [("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("base", pa.int32())]
+        + [(k, pa.binary()) for k in ("rules", "lengths", "symbols")]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         shard = TaskContext.get().partitionId()
         last = np.array([end], np.uint32)
-        texts = ((None if pd.isna(k) else int(k), np.concatenate([encode(t), last])) for batch in batches for k, t in zip(batch["key"], batch["text"], strict=True))
-        for number, (keys, parts) in enumerate(blocks_of(texts, repair.BLOCK_IDS)):
-            ids = np.concatenate(parts)
+
+        def texts() -> Iterator[tuple[int | None, np.ndarray]]:
+            for batch in batches:
+                for piece in slices(batch.column(1)):
+                    yield from zip(batch.column(0).slice(*piece).to_pylist(), encode.batch(batch.column(1).slice(*piece)), strict=True)
+
+        for number, (keys, parts) in enumerate(blocks_of(texts(), repair.BLOCK_IDS)):
+            ids = np.concatenate([x for part in parts for x in (part, last)])
             packed = repair.compress(ids, encode.base)
-            row = {"shard": shard, "block": number, "n_ids": len(ids), "doc_ids": keys, "doc_lengths": [len(p) for p in parts], "base": packed.base}
-            yield pd.DataFrame([row | {k: getattr(packed, k).tobytes() for k in ("rules", "lengths", "symbols")}])
+            row = {"shard": shard, "block": number, "n_ids": len(ids), "doc_ids": keys, "doc_lengths": [len(p) + 1 for p in parts], "base": packed.base}
+            yield pa.RecordBatch.from_pylist([row | {k: getattr(packed, k).tobytes() for k in ("rules", "lengths", "symbols")}], schema)
 
     return run
 
@@ -118,7 +223,7 @@ def encode(docs: DataFrame, tokenizer_file: str, *, key: str = "doc_id", text: s
     """The rows of the file format, one per block."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    return ordered.mapInPandas(_encode_shard(tokenizer_file, end), BLOCKS)
+    return ordered.mapInArrow(_encode_shard(tokenizer_file, end), BLOCKS)
 
 
 def unpacked(row) -> repair.Block:
