@@ -10,12 +10,15 @@ can have no partner and leaves at once.
 
 Equal sets become one class before anything else.  Lists are merged without writing out the pairs of a list:
 1. every class meets the least one of each of its lists; the one it collides with most often is verified;
-2. what is still apart meets one class drawn from each list; the three with most matches are verified;
-3. what is still apart in some list from the list's largest group meets all classes of other groups in that list,
-   so no link between two components is lost.
+2. a class outside the largest component of its lists meets members drawn from three of them;
+3. what is still apart is compared in full: in a list without a component of two, all pairs; around a component, each
+   class outside it with all that share its lists.  So no link between two components is lost.
+Pairs go on to the full sets if their signatures have `MATCH` equal coordinates, and only texts of such pairs are read
+again.
 Verified means: 100 * intersection >= percent * union on the full sets of hashes.
 
-With a similarity of 0.8 a pair has fewer than 24 of 48 matches with a probability under 1e-6 (binomial).
+With a similarity of exactly 0.8 a pair has fewer than 26 of 48 matches with a probability of about 2e-5 (binomial), and
+with more similarity less.
 
 Defined results: a text that is null or has no words has an empty set and is linked with nothing; rows that share an id
 are one document, and links of any of its texts count; a null id is in the component of an equal set, if there is one,
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -36,7 +39,10 @@ from .shared import cut
 from .shingles import hash_family, set_name, shingle_set, signature
 
 COORDINATES = 48
-MATCH = 24
+MATCH = 26
+#: Up to so many classes around a component are compared in pairs of signatures; more, by full sets in blocks.
+LARGE = 64
+BLOCK = 1500
 PREFIX = COORDINATES - MATCH + 1
 SEED = 41
 
@@ -69,65 +75,168 @@ def features(docs: DataFrame, *, key: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(_features(width), FEATURES)
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """Classes that can have a partner, with the tokens they are posted under: key, n, signature, prefix."""
-    tokens = classes.select("key", F.posexplode("signature").alias("_at", "_value"))
-    tokens = tokens.select("key", (F.shiftleft(F.col("_at").cast("long"), 32) + F.col("_value").cast("long") + (1 << 31)).alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    held = tokens.join(shared, "token").groupBy("key").agg(F.collect_set(F.struct("holders", "token")).alias("_held"))
+def postings(classes: DataFrame, percent: int) -> DataFrame:
+    """Classes that can have a partner, with the tokens they are posted under: key, n, band, signature, prefix.
+
+    Sets whose sizes differ by more than the similarity allows cannot be linked, so the holders of a token are counted
+    within a band of sizes and its two neighbours.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(100.000001 / percent))).cast("int")
+    tokens = classes.select("key", band.alias("band"), F.posexplode("signature").alias("_at", "_value"))
+    tokens = tokens.select("key", "band", (F.shiftleft(F.col("_at").cast("long"), 32) + F.col("_value").cast("long") + (1 << 31)).alias("token"))
+    counts = tokens.groupBy("token", "band").agg(F.count(F.lit(1)).alias("_n"))
+    shared = counts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "_n"))).alias("_bands"), F.sum("_n").alias("_all")).filter("_all > 1").select("token", "_bands")
+    near = lambda shift: F.coalesce(F.try_element_at("_bands", F.col("band") + shift), F.lit(0))
+    held = tokens.join(shared, "token").select("key", "band", "token", (near(-1) + near(0) + near(1)).alias("holders")).filter("holders > 1")
+    held = held.groupBy("key", "band").agg(F.collect_list(F.struct("holders", "token")).alias("_held")).filter(F.size("_held") >= MATCH)
     alone = F.lit(COORDINATES) - F.size("_held")
-    able = held.filter(F.size("_held") >= MATCH).select("key", F.transform(F.slice(F.array_sort("_held"), F.lit(1), F.lit(PREFIX) - alone), lambda x: x["token"]).alias("prefix"))
-    return classes.join(able, "key").select("key", "n", "signature", "prefix")
+    able = held.select("key", "band", F.transform(F.slice(F.array_sort("_held"), F.lit(1), F.lit(PREFIX) - alone), lambda x: x["token"]).alias("prefix"))
+    return classes.join(able, "key").select("key", "n", "band", "signature", "prefix")
+
+
+def posting_lists(able: DataFrame) -> DataFrame:
+    """One row per class and list: a list is a token and a band, and a class is in those of its own band and the next.
+
+    Linked classes are in bands at most one apart, so they meet in the list of the higher band, where at least one of
+    them is at home.
+    """
+    spread = able.select("key", "n", "band", F.explode("prefix").alias("_token")).select("key", "n", "band", "_token", F.explode(F.array(F.lit(True), F.lit(False))).alias("home"))
+    return spread.select("key", "n", "home", F.xxhash64("_token", F.when(F.col("home"), F.col("band")).otherwise(F.col("band") + 1)).alias("list"))
 
 
 def matches(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
+def plausible(pairs: DataFrame, able: DataFrame) -> DataFrame:
+    """The pairs (a, b) with enough equal coordinates."""
+    one = able.select(F.col("key").alias("a"), F.col("signature").alias("_a"))
+    two = able.select(F.col("key").alias("b"), F.col("signature").alias("_b"))
+    return pairs.join(one, "a").join(two, "b").filter(matches(F.col("_a"), F.col("_b")) >= MATCH).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = sets.select(F.col("key").alias("a"), F.col("shingles").alias("_sa"))
     two = sets.select(F.col("key").alias("b"), F.col("shingles").alias("_sb"))
     common = F.size(F.array_intersect("_sa", "_sb"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", common.alias("_c"), (F.size("_sa") + F.size("_sb")).alias("_n"))
-    return joined.filter(F.lit(100) * F.col("_c") >= F.lit(percent) * (F.col("_n") - F.col("_c"))).select("a", "b").distinct()
+    return joined.filter(F.lit(100) * F.col("_c") >= F.lit(percent) * (F.col("_n") - F.col("_c"))).select("a", "b")
+
 
+def _fits(percent: int, one: str = "_na", two: str = "_nb") -> Column:
+    return F.lit(100) * F.least(one, two) >= F.lit(percent) * F.greatest(one, two)
 
-def _first_pairs(posted: DataFrame) -> DataFrame:
-    lists = posted.groupBy("token").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    met = posted.join(lists, "token").filter("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.count(F.lit(1)).alias("_n"))
+
+def first_pairs(posted: DataFrame, percent: int) -> DataFrame:
+    """Each class with the head of one of its lists, the one it collides with most often."""
+    heads = posted.groupBy("list").agg(F.min_by(F.struct("key", "n"), "key").alias("_b"), F.count(F.lit(1)).alias("_count")).filter("_count > 1")
+    met = posted.join(heads.select("list", F.col("_b.key").alias("b"), F.col("_b.n").alias("_nb")), "list").withColumnRenamed("n", "_na").filter((F.col("key") != F.col("b")) & _fits(percent))
+    met = met.groupBy(F.col("key").alias("a"), "b").agg(F.count(F.lit(1)).alias("_n"))
     return met.groupBy("a").agg(F.max_by("b", F.struct("_n", -F.col("b"))).alias("b"))
 
 
-def _in_groups(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    named = labels.select(F.col("node").alias("key"), "label")
-    return posted.join(named, "key", "left").withColumn("label", F.coalesce("label", "key"))
+def split_lists(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of lists that hold more than one component: list, key, n, home, label, main, main_n.
+
+    main is the component with most entries in the list.
+    """
+    named = posted.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = cut(named, "named")
+    sizes = named.groupBy("list", "label").agg(F.count(F.lit(1)).alias("_n"))
+    split = sizes.groupBy("list").agg(F.max_by("label", F.struct("_n", -F.col("label"))).alias("main"), F.max("_n").alias("main_n"), F.count(F.lit(1)).alias("_groups"))
+    return cut(named.join(split.filter("_groups > 1").drop("_groups"), "list"), "split-lists")
+
+
+def second_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Each class outside its list's main component with members of that, drawn from three of its lists."""
+    clustered = entries.filter("main_n > 1")
+    drawn = clustered.filter("label = main").groupBy("list").agg(F.min_by(F.struct("key", "n"), F.xxhash64("key", "list")).alias("_b"))
+    met = clustered.filter("label <> main").join(drawn, "list").select(F.col("key").alias("a"), F.col("n").alias("_na"), F.col("_b.key").alias("b"), F.col("_b.n").alias("_nb"), F.xxhash64("list").alias("_at"))
+    draws = met.filter(_fits(percent)).groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("_at", "b"))), 1, 3).alias("_draws"))
+    return draws.select("a", F.explode("_draws").alias("_d")).select("a", F.col("_d.b").alias("b")).distinct()
+
+
+def third_pairs(entries: DataFrame, around: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that share a list, but for those around large components, with enough equal coordinates."""
+    small = entries.filter("main_n = 1").select("list", "key", "n", "home")
+    one = small.select("list", F.col("key").alias("a"), F.col("n").alias("_na"), F.col("home").alias("_ha"))
+    two = small.select("list", F.col("key").alias("b"), F.col("n").alias("_nb"), F.col("home").alias("_hb"))
+    alone = one.join(two, "list").filter((F.col("a") < F.col("b")) & (F.col("_ha") | F.col("_hb")) & _fits(percent)).select("a", "b").distinct()
+    near = around.filter(F.col("_size") <= LARGE)
+    outside = near.filter("label <> main").select("main", F.col("key").alias("a"), F.col("label").alias("_la"), F.col("n").alias("_na"))
+    every = near.select("main", F.col("key").alias("b"), F.col("label").alias("_lb"), F.col("n").alias("_nb"))
+    inside = F.col("_lb") == F.col("main")
+    met = outside.join(every, "main").filter((F.col("_la") != F.col("_lb")) & (inside | (F.col("a") < F.col("b"))) & _fits(percent)).select("a", "b")
+    return plausible(met.unionByName(alone).distinct(), able)
+
+
+def surroundings(entries: DataFrame) -> DataFrame:
+    """Classes that share a list with a component of two or more there: main, key, n, label, _size (how many)."""
+    held = cut(entries.filter("main_n > 1").select("main", "key", "n", "label").distinct(), "surroundings")
+    sizes = held.groupBy("main").agg(F.count(F.lit(1)).alias("_size"))
+    return held.join(sizes, "main")
+
+
+def _common(percent: int):
+    """Links between the classes outside a component and all in a block, from their full sets.
+
+    Rows come sorted by block, with the block's own classes before those from outside.
+    """
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        own, outside = group[~group["outside"]], group[group["outside"]]
+        if not len(own) or not len(outside):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sizes = own["shingles"].map(len).to_numpy()
+        flat = np.concatenate(own["shingles"].to_list())
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(own)), sizes)[order]
+        keys, labels = own["key"].to_numpy(), own["label"].to_numpy()
+        a, b = [], []
+        for key, label, mine in zip(outside["key"], outside["label"], outside["shingles"], strict=True):
+            low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+            runs = high - low
+            at = np.arange(int(runs.sum())) + np.repeat(low - (np.cumsum(runs) - runs), runs)
+            both = np.bincount(owner[at], minlength=len(own))
+            hit = np.flatnonzero((100 * both >= percent * (len(mine) + sizes - both)) & (labels != label))
+            hit = hit[np.unique(labels[hit], return_index=True)[1]]  # one link to each other component says as much as all
+            a += [key] * len(hit)
+            b += keys[hit].tolist()
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            for block, part in batch.groupby("block", sort=False):
+                if held and held[0]["block"].iloc[0] != block:
+                    yield links(pd.concat(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield links(pd.concat(held))
+
+    return run
 
-def _second_pairs(posted: DataFrame, able: DataFrame) -> DataFrame:
-    drawn = posted.groupBy("token").agg(F.min_by(F.struct("key", "label"), F.xxhash64("key", "token")).alias("_b"), F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l <> _m")
-    met = posted.join(drawn, "token").filter(F.col("label") != F.col("_b.label")).select(F.col("key").alias("a"), F.col("_b.key").alias("b")).distinct()
-    signed = able.select("key", "signature")
-    scored = (
-        met.join(signed.select(F.col("key").alias("a"), F.col("signature").alias("_a")), "a")
-        .join(signed.select(F.col("key").alias("b"), F.col("signature").alias("_b")), "b")
-        .select("a", "b", matches(F.col("_a"), F.col("_b")).alias("_n"))
-        .filter(F.col("_n") >= MATCH)
-    )
-    best = Window.partitionBy("a").orderBy(F.desc("_n"), "b")
-    return scored.withColumn("_rank", F.row_number().over(best)).filter("_rank <= 3").select("a", "b")
 
+def links_around(around: DataFrame, texts: DataFrame, *, width: int, percent: int) -> DataFrame:
+    """Links between large components and the classes that share lists with them, without writing out pairs.
 
-def _third_pairs(posted: DataFrame, able: DataFrame, percent: int) -> DataFrame:
-    sizes = posted.groupBy("token", "label").agg(F.count(F.lit(1)).alias("_n"))
-    split = sizes.groupBy("token").agg(F.max_by("label", F.struct("_n", -F.col("label"))).alias("main"), F.count(F.lit(1)).alias("_groups")).filter("_groups > 1").drop("_groups")
-    full = posted.join(split, "token").join(able.select("key", "n", "signature"), "key")
-    full = cut(full, "split-lists")
-    outside = full.filter("label <> main").select("token", F.col("key").alias("a"), F.col("label").alias("_la"), F.col("n").alias("_na"), F.col("signature").alias("_sa"))
-    every = full.select(F.col("token").alias("_t"), F.col("key").alias("b"), F.col("label").alias("_lb"), F.col("n").alias("_nb"), F.col("signature").alias("_sb"), (F.col("label") == F.col("main")).alias("_main"))
-    size_fits = (F.lit(100) * F.least("_na", "_nb") >= F.lit(percent) * F.greatest("_na", "_nb"))
-    possible = (F.col("token") == F.col("_t")) & (F.col("_la") != F.col("_lb")) & (F.col("_main") | (F.col("a") < F.col("b"))) & size_fits
-    return outside.join(every, possible & (matches(F.col("_sa"), F.col("_sb")) >= MATCH)).select("a", "b").distinct()
+    A component's surroundings are dealt out to blocks of about `BLOCK` classes, and the classes outside the component
+    to as many chunks; each chunk meets each block.
+    """
+    large = cut(around.filter(F.col("_size") > LARGE), "large")
+    ends = large.select("key").distinct()
+    sets = texts.join(ends, "key", "left_semi").mapInPandas(_sets(width), "key long, shingles array<long>")
+    outside = F.col("label") != F.col("main")
+    outsiders = large.filter(outside).groupBy("main").agg(F.count(F.lit(1)).alias("_outside"))
+    blocks, chunks = F.ceil(F.col("_size") / BLOCK).cast("int"), F.ceil(F.col("_outside") / BLOCK).cast("int")
+    dealt = large.join(outsiders, "main").join(cut(sets, "sets"), "key").withColumns({"_blocks": blocks, "_chunks": chunks})
+    own = dealt.select("main", "key", "label", "shingles", F.lit(False).alias("outside"), F.pmod(F.xxhash64("key"), "_blocks").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_c"))
+    far = dealt.filter(outside).select("main", "key", "label", "shingles", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), F.pmod(F.xxhash64("key"), "_chunks").alias("_c"))
+    columns = [F.xxhash64("main", F.col("_b").cast("long"), F.col("_c").cast("long")).alias("block"), "outside", "key", "label", "shingles"]
+    rows = own.select(*columns).unionByName(far.select(*columns)).repartition("block").sortWithinPartitions("block", "outside")
+    return rows.mapInPandas(_common(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -135,17 +244,24 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     facts = cut(features(docs, key=key, text=text, width=width), "features")
     classes = facts.filter("n > 0 AND key IS NOT NULL").groupBy("name").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = cut(classes, "classes")
-    able = cut(postings(classes), "postings")
-    mine = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(able.select("key"), "key", "left_semi")
-    sets = cut(mine.mapInPandas(_sets(width), "key long, shingles array<long>"), "sets")
-    posted = able.select("key", F.explode("prefix").alias("token"))
-    links = cut(verified(_first_pairs(posted), sets, percent), "links")
-    labels = components(links)
-    for further in (lambda p: _second_pairs(p, able), lambda p: _third_pairs(p, able, percent)):
-        more = cut(verified(further(cut(_in_groups(posted, labels), "groups")), sets, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+    able = cut(postings(classes, percent), "postings")
+    posted = cut(posting_lists(able), "lists")
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs, "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        sets = texts.join(ends, "key", "left_semi").mapInPandas(_sets(width), "key long, shingles array<long>")
+        return cut(verified(pairs, cut(sets, "sets"), percent), "links")
+
+    links = links_of(plausible(first_pairs(posted, percent), able))
+    more = links_of(plausible(second_pairs(split_lists(posted, components(links)), percent), able))
+    links = links.unionByName(more)
+    entries = split_lists(posted, components(links))
+    around = cut(surroundings(entries), "around")
+    more = links_of(third_pairs(entries, around, able, percent))
+    whole = cut(links_around(around, texts, width=width, percent=percent), "links")
+    labels = components(links.unionByName(more).unionByName(whole))
     named = classes.select("name", F.col("key").alias("node")).join(labels, "node", "left").select("name", F.coalesce("label", "node").alias("_component"))
     joined = facts.select("key", "n", "name").join(named, "name", "left")
     component = F.coalesce("_component", "key")
