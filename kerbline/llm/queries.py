@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, langid, mixing, neardup, secret_scan, sharding, token_store
+from . import ann, decontam, html_text, langid, mixing, neardup, secret_scan, sharding, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_winnowing": decontam.op4,
         "op5_line_blocks": html_text.op5,
         "op6_byte_network": langid.op6,
+        "op7_projection_tree": ann.op7,
         "op8_token_grammar": token_store.op8,
         "op9_signature_join": neardup.op9,
         "op10_sharding": sharding.op10,
