@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, html_text, langid, mixing, neardup, secret_scan, sharding, token_store
+from . import ann, chat, decontam, html_text, langid, mixing, neardup, secret_scan, sharding, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1,
         "op2_secret_ledger": secret_scan.op2,
+        "op3_chat_roles": chat.op3,
         "op4_winnowing": decontam.op4,
         "op5_line_blocks": html_text.op5,
         "op6_byte_network": langid.op6,
