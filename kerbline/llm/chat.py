@@ -56,8 +56,7 @@ _END = re.compile(r"<\|(?:im_end|end|eot_id)\|>\s*$")
 
 
 class Model(NamedTuple):
-    start: np.ndarray  # log chance of the first role
-    step: np.ndarray  # [opens, from, to]
+    step: np.ndarray  # [opens, from, to]; the last state is the beginning, which nothing leads back to
     marker: np.ndarray  # [opens, role, marker]; the last marker is none
     length: np.ndarray  # [opens, role, length]: of the whole row for the line that opens it, else of the line
     asks: np.ndarray  # [role, asks]
@@ -109,7 +108,11 @@ def fit(rows: DataFrame, *, conversation: str, turn: str, role: str, text: str)
         marker[:, i, i] += MARKER_WEIGHT
     marker[0, :, n] += 3 * MARKER_WEIGHT
     marker[1, :, n] += MARKER_WEIGHT
-    return Model(share(start), np.stack([share(within), share(between)]), share(marker), share(length), share(asks))
+    begin = share(start)
+    step = np.full((2, n + 1, n + 1), -np.inf)
+    for opens, chances in enumerate((share(within), share(between))):
+        step[opens, :n, :n], step[opens, n, :n] = chances, begin
+    return Model(step, share(marker), share(length), share(asks))
 
 
 class _Walk:
@@ -126,7 +129,7 @@ class _Walk:
             opens = int(i == 0)
             of = self.m.marker[opens, :, marker] + self.m.length[opens, :, length_of(text if opens else line)] + self.m.asks[:, int(line.rstrip().endswith("?"))]
             # a marker speaks for a new turn wherever it stands
-            scores.append((self.m.step[1] if marker < len(ROLES) else self.m.step[opens]) + of[None, :])
+            scores.append((self.m.step[1] if marker < len(ROLES) else self.m.step[opens]) + np.append(of, 0.0)[None, :])
             bare.append(line)
         return bare, scores
 
@@ -180,30 +183,21 @@ def _block_matrix(model: Model):
             for score in walk.lines(text)[1]:
                 total = score if total is None else chained(total, score)
         head = rows.iloc[0]
-        none = np.where(np.eye(len(ROLES)) > 0, 0.0, -np.inf)
+        none = np.where(np.eye(len(ROLES) + 1) > 0, 0.0, -np.inf)
         return pd.DataFrame({"conv": [head["conv"]], "block": [head["block"]], "matrix": [(none if total is None else total).ravel()]})
 
     return _streamed(["conv", "block"], work)
 
 
-def _edges(model: Model):
-    """The states before and after each block of a conversation; before the first stands state -1."""
-    n = len(ROLES)
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        matrices = [np.asarray(m).reshape(n, n) for m in rows["matrix"]]
-        # the start has no state before it: its first line takes the chance of a first role for that of a step
-        states = walked([np.broadcast_to(model.start, (n, n)), *matrices], 0, int(_values(model, matrices).argmax()))
-        return pd.DataFrame({"conv": rows["conv"], "block": rows["block"], "before": states[:-1], "after": states[1:]})
-
-    return _streamed(["conv"], work)
-
-
-def _values(model: Model, matrices: list[np.ndarray]) -> np.ndarray:
-    values = model.start
-    for matrix in matrices:
+def _edges(rows: pd.DataFrame) -> pd.DataFrame:
+    """The states before and after each block of a conversation."""
+    begin = len(ROLES)
+    matrices = [np.asarray(m).reshape(begin + 1, begin + 1) for m in rows["matrix"]]
+    values = matrices[0][begin]
+    for matrix in matrices[1:]:
         values = (values[:, None] + matrix).max(axis=0)
-    return values
+    states = [begin, *walked(matrices, begin, int(values.argmax()))]
+    return pd.DataFrame({"conv": rows["conv"], "block": rows["block"], "before": states[:-1], "after": states[1:]})
 
 
 def rendered(role: str, text: str) -> str:
@@ -242,7 +236,7 @@ def format_transcripts(rows: DataFrame, model: Model, *, conversation: str = "co
     dealt = lambda df, *by: df.repartition(*by)
     ordered = dealt(blocked, "conv", "block").sortWithinPartitions("conv", "block", "turn", "text")
     matrices = ordered.mapInPandas(_block_matrix(model), "conv long, block long, matrix array<double>")
-    edges = dealt(matrices, "conv").sortWithinPartitions("conv", "block").mapInPandas(_edges(model), "conv long, block long, before int, after int")
+    edges = dealt(matrices, "conv").sortWithinPartitions("conv", "block").mapInPandas(_streamed(["conv"], _edges), "conv long, block long, before int, after int")
     edges = cut(edges, "edges")
     walked_rows = dealt(blocked.join(edges, ["conv", "block"]), "conv", "block").sortWithinPartitions("conv", "block", "turn", "text").select("conv", "block", "turn", "text", "before", "after")
     turns = walked_rows.mapInPandas(_turns(model), "conv long, turn long, part int, role_pred string, text string, rendered string")
