@@ -13,7 +13,7 @@ import numpy as np
 
 #: Ids of a block at most, besides the rest of a document.
 BLOCK_IDS = 1 << 20
-ROUNDS = 3
+ROUNDS = 2
 #: New rules of a round at most, and how often a pair must occur to get one.
 RULES = 4096
 LEAST = 24

@@ -36,7 +36,7 @@ from . import repair
 from .shared import written
 
 END = 0
-#: Words, and pieces of words, that a worker remembers: about 100 MB.
+#: Words, and pieces of words, that a worker remembers: about 70 MB each.
 REMEMBERED = 400_000
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, doc_lengths array<long>, base int, rules binary, lengths binary, symbols binary"
 
@@ -118,7 +118,7 @@ class Encoder:
             return [np.frombuffer(self._plain(t), np.uint32) for t in texts.to_pylist()]
         lists = pc.split_pattern(texts, " ")
         words = pc.dictionary_encode(lists.flatten())
-        which = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        which = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         first = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
         first = np.concatenate([[0], first[:-1]])
         own = np.bincount(np.delete(which, first), minlength=len(words.dictionary)) > 0
@@ -185,7 +185,7 @@ def blocks_of(docs: Iterable[tuple[int, np.ndarray]], most: int) -> Iterator[tup
         yield keys, parts
 
 
-def slices(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
     """Offset and length of runs of texts with about `most` bytes."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     group = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
@@ -215,6 +215,7 @@ def _encode_shard(path: str, end: int):
             packed = repair.compress(ids, encode.base)
             row = {"shard": shard, "block": number, "n_ids": len(ids), "doc_ids": keys, "doc_lengths": [len(p) + 1 for p in parts], "base": packed.base}
             yield pa.RecordBatch.from_pylist([row | {k: getattr(packed, k).tobytes() for k in ("rules", "lengths", "symbols")}], schema)
+        pa.default_memory_pool().release_unused()
 
     return run
 
