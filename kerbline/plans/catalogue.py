@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scoring
+from . import scoring, spatial
 
-PARTS = (scoring,)
+PARTS = (scoring, spatial)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
