@@ -6,7 +6,7 @@ Sequential kernels run per group of bounded extent (a chain, a parent, a cell cl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,15 +58,41 @@ def smooth(rows: DataFrame, *, key: str, line: str, place: str, value: str, leng
         now = new.withColumn(f"{value}_smoothed", F.col("_new")).drop("_new")
 
 
+def streamed(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Runs a kernel on each group of keys, rows in the given order, many small groups to a batch.
+
+    Rows are dealt out by key and sorted, so a group is a run of rows; a task holds one batch and one group at a time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            values = batch[keys].to_numpy()
+            edges = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            out = []
+            for a, b in zip(edges, edges[1:]):
+                part = batch.iloc[a:b]
+                if held and (held[-1][keys].iloc[-1].to_numpy() != part[keys].iloc[0].to_numpy()).any():
+                    out.append(kernel(pd.concat(held) if len(held) > 1 else held[0]))
+                    held = []
+                held.append(part)
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield kernel(pd.concat(held) if len(held) > 1 else held[0])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def _leaders(radius: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["first_seen", "id"], kind="stable")
         xy = group[["px", "py"]].to_numpy()
         leader = np.full(len(group), -1)
         for i in range(len(group)):
             if leader[i] < 0:
-                near = (np.hypot(*(xy - xy[i]).T) <= radius) & (leader < 0)
-                leader[near] = i
+                leader[(np.hypot(*(xy - xy[i]).T) <= radius) & (leader < 0)] = i
         return group.assign(leader=group["id"].to_numpy()[leader])[["id", "leader", "px", "py", "first_seen"]]
 
     return run
@@ -75,12 +101,13 @@ def _leaders(radius: float):
 def greedy_leaders(points: DataFrame, pairs: DataFrame, radius: float) -> DataFrame:
     """(id, leader): in order of first_seen, each ungrouped point claims all ungrouped points within the radius.
 
-    Claims cannot pass between clusters of pairs within the radius, so each cluster is worked through alone.
+    Claims cannot pass between clusters of pairs within the radius, so each cluster is worked through alone, and points
+    without a neighbour lead themselves.
     """
     labels = components(pairs).withColumnRenamed("node", "id")
-    clustered = points.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    alone = points.join(labels, "id", "left_anti").select("id", F.col("id").alias("leader"), "px", "py", "first_seen")
     schema = "id long, leader long, px double, py double, first_seen timestamp"
-    return clustered.groupBy("label").applyInPandas(_leaders(radius), schema)
+    return alone.unionByName(streamed(points.join(labels, "id"), ["label"], ["first_seen", "id"], _leaders(radius), schema))
 
 
 def frechet(one: np.ndarray, two: np.ndarray) -> float:
@@ -118,24 +145,21 @@ def frechet_distances(pairs: DataFrame, one: str, two: str, keys: list[str], ste
 
 
 def midpoint_partition(spans: pd.DataFrame, share: float = 0.5) -> pd.DataFrame:
-    """Disjoint ranges from overlapping ones: heavy overlaps keep the nearer, others meet half way.
+    """Disjoint ranges from overlapping ones: of a heavy overlap the nearer stays, others meet half way.
 
-    spans: key, lo, hi, dist of one group.
+    spans: lo, hi, dist and more, of one group, in order of lo and hi.
     """
-    rows = spans.sort_values(["lo", "hi", "key"], kind="stable").to_dict("records")
-    kept: list[dict] = []
-    for row in rows:
+    lows, highs, dists = spans["lo"].tolist(), spans["hi"].tolist(), spans["dist"].tolist()
+    kept: list[int] = []
+    for i in range(len(lows)):
         if kept:
-            last = kept[-1]
-            overlap = min(last["hi"], row["hi"]) - row["lo"]
-            if overlap >= share * min(last["hi"] - last["lo"], row["hi"] - row["lo"]):
-                if row["dist"] < last["dist"]:
-                    kept[-1] = row
+            j = kept[-1]
+            if min(highs[j], highs[i]) - lows[i] >= share * min(highs[j] - lows[j], highs[i] - lows[i]):
+                if dists[i] < dists[j]:
+                    kept[-1] = i
                 continue
-        kept.append(row)
-    for left, right in zip(kept, kept[1:]):
-        edge = (left["hi"] + right["lo"]) / 2
-        edge = max(edge, left["lo"])
-        left["hi"], right["lo"] = edge, edge
-    out = pd.DataFrame(kept, columns=spans.columns)
+        kept.append(i)
+    for j, i in zip(kept, kept[1:]):
+        highs[j] = lows[i] = max((highs[j] + lows[i]) / 2, lows[j])
+    out = spans.assign(lo=lows, hi=highs).iloc[kept]
     return out[out["hi"] > out["lo"]]
