@@ -17,11 +17,13 @@ are left out.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -76,14 +78,20 @@ class Encoder:
 
     def _one(self, piece: str) -> bytes:
         """The ids of a run of letters with a space or nothing before it, which the tokenizer takes as one unit."""
-        return np.array([t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_SYMBOLS))], np.uint32).tobytes()
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_SYMBOLS))]).tobytes()
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _by_pieces(self, text: str) -> bytes:
         known, found = self.pieces, []
-        for x in _PIECE.findall(text):
+        # most words are letters with at most a mark behind
+        core = text.rstrip(".,")
+        if core[1:].isalpha() and core[0] == " ":
+            pieces = (core, text[len(core) :]) if len(core) < len(text) else (core,)
+        else:
+            pieces = _PIECE.findall(text)
+        for x in pieces:
             ids = known.get(x)
             if ids is None:
                 # letters to Python's expressions, but not to the tokenizer: numbers such as superscripts
@@ -95,16 +103,19 @@ class Encoder:
             found.append(ids)
         return b"".join(found)
 
-    def _word(self, word: str) -> bytes | None:
-        """The ids of a word with the space before it; None if its neighbours could matter."""
-        ids = self.words.get(word)
-        if ids is None:
-            if not word or word[0].isspace() or word[-1].isspace():
-                return None
-            ids = self._by_pieces(" " + word)
-            if len(self.words) < REMEMBERED:
-                self.words[word] = ids
-        return ids
+    def _words(self, words: list[str], needed: np.ndarray) -> list[bytes | None]:
+        """The ids of words with the space before them; None if a word's neighbours could matter, or it is not needed."""
+        known = self.words
+        found = list(map(known.get, words))
+        for i in np.flatnonzero(needed).tolist():
+            if found[i] is None:
+                word = words[i]
+                if not word or word[0].isspace() or word[-1].isspace():
+                    continue
+                ids = found[i] = self._by_pieces(" " + word)
+                if len(known) < REMEMBERED:
+                    known[word] = ids
+        return found
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text.
@@ -121,14 +132,16 @@ class Encoder:
         which = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         first = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
         first = np.concatenate([[0], first[:-1]])
-        own = np.bincount(np.delete(which, first), minlength=len(words.dictionary)) > 0
-        table = [self._word(w) if used else b"" for w, used in zip(words.dictionary.to_pylist(), own, strict=True)]
+        own = np.bincount(which, minlength=len(words.dictionary)) > np.bincount(which[first], minlength=len(words.dictionary))
+        table = self._words(words.dictionary.to_pylist(), own)
         unsafe = np.array([ids is None for ids in table])
         heads = pc.list_element(lists, 0).to_pylist()
         odd = np.zeros(len(texts), bool)
         for mark in (*_ODD, "'"):
             odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
-        bad = np.add.reduceat(unsafe[which] & ~np.isin(np.arange(len(which)), first), first) > 0
+        at_fault = unsafe[which]
+        at_fault[first] = False
+        bad = np.logical_or.reduceat(at_fault, first)
         table = [ids or b"" for ids in table]
         empty = len(table)
         table.append(b"")
@@ -201,6 +214,7 @@ def _encode_shard(path: str, end: int):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of small objects, none of them in cycles
         encode = encoder(path)
         shard = TaskContext.get().partitionId()
         last = np.array([end], np.uint32)
@@ -215,6 +229,7 @@ def _encode_shard(path: str, end: int):
             packed = repair.compress(ids, encode.base)
             row = {"shard": shard, "block": number, "n_ids": len(ids), "doc_ids": keys, "doc_lengths": [len(p) + 1 for p in parts], "base": packed.base}
             yield pa.RecordBatch.from_pylist([row | {k: getattr(packed, k).tobytes() for k in ("rules", "lengths", "symbols")}], schema)
+        gc.enable()
         pa.default_memory_pool().release_unused()
 
     return run
