@@ -155,6 +155,9 @@ def walked(scores: list[np.ndarray], first: int, last: int) -> list[int]:
 def _streamed(key: list[str], work: Callable[[pd.DataFrame], pd.DataFrame]):
     """Runs work on each run of rows that agree in the key columns; rows come sorted by them."""
 
+    def some(out: pd.DataFrame) -> list[pd.DataFrame]:
+        return [out] if len(out) else []
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for batch in batches:
@@ -165,11 +168,11 @@ def _streamed(key: list[str], work: Callable[[pd.DataFrame], pd.DataFrame]):
             for a, b in zip(edges, edges[1:]):
                 part = batch.iloc[a:b]
                 if held and (held[0][key].iloc[0].to_numpy() != part[key].iloc[0].to_numpy()).any():
-                    yield work(pd.concat(held) if len(held) > 1 else held[0])
+                    yield from some(work(pd.concat(held) if len(held) > 1 else held[0]))
                     held = []
                 held.append(part)
         if held:
-            yield work(pd.concat(held) if len(held) > 1 else held[0])
+            yield from some(work(pd.concat(held) if len(held) > 1 else held[0]))
 
     return run
 
