@@ -121,26 +121,29 @@ def add_benefit(df: DataFrame) -> DataFrame:
 
 def add_exposure(df: DataFrame, signals: Mapping[str, Sequence[str]] = SIGNALS, id_column: str = "segment_id") -> DataFrame:
     """`exposure_composite`: mean percent rank of the cell's signals; `exposure_level`: its tertile in the cell."""
-    df = staged(df)
+    base = staged(df)
     names = list(dict.fromkeys(s for names in signals.values() for s in names))
+    df = base.select(*CELL, id_column, *names)
     df = df.join(order.percent_ranks(df, CELL, names, id_column), id_column, "left")
     composite = F.lit(None).cast("double")
     for land_use, names in signals.items():
         total = sum((F.coalesce(f"_rank_{n}", F.lit(0.0)) for n in names[1:]), F.coalesce(f"_rank_{names[0]}", F.lit(0.0)))
         known = sum((F.col(f"_rank_{n}").isNotNull().cast("int") for n in names[1:]), F.col(f"_rank_{names[0]}").isNotNull().cast("int"))
         composite = F.when(F.col("land_use") == land_use, total / F.nullif(known, F.lit(0))).otherwise(composite)
-    df = staged(df.withColumn("exposure_composite", composite).drop(*[c for c in df.columns if c.startswith("_rank_")]))
+    df = staged(df.select(*CELL, id_column, composite.alias("exposure_composite")))
     edges = order.quantiles(df, CELL, "exposure_composite", {"_e0": 0.0, "_e1": 1 / 3, "_e2": 2 / 3, "_e3": 1.0})
     df = df.join(edges, list(CELL), "left")
     apart = (F.col("_e0") < F.col("_e1")) & (F.col("_e1") < F.col("_e2")) & (F.col("_e2") < F.col("_e3"))
     by_value = F.when(F.col("exposure_composite") <= F.col("_e1"), "low").when(F.col("exposure_composite") <= F.col("_e2"), "medium").otherwise("high")
     # equal edges: thirds of the row order by composite and id
     tied = df.filter(~apart & F.col("exposure_composite").isNotNull()).select(*CELL, id_column, "exposure_composite", F.lit(1).alias("_one"))
-    place = order.running(tied, CELL, "exposure_composite", [F.col("exposure_composite"), F.col(id_column)], "_one")
-    third = F.when(F.col("_before") <= (F.col("_total") - 1) / 3, "low").when(F.col("_before") <= 2 * (F.col("_total") - 1) / 3, "medium").otherwise("high")
-    df = df.join(place.select(*CELL, id_column, third.alias("_third")), [*CELL, id_column], "left")
-    level = F.when(F.col("exposure_composite").isNotNull(), F.coalesce("_third", by_value))
-    return staged(df.withColumn("exposure_level", level).drop("_e0", "_e1", "_e2", "_e3", "_third"))
+    if not tied.isEmpty():
+        place = order.running(tied, CELL, "exposure_composite", [F.col("exposure_composite"), F.col(id_column)], "_one")
+        third = F.when(F.col("_before") <= (F.col("_total") - 1) / 3, "low").when(F.col("_before") <= 2 * (F.col("_total") - 1) / 3, "medium").otherwise("high")
+        df = df.join(place.select(id_column, third.alias("_third")), id_column, "left")
+        by_value = F.coalesce("_third", by_value)
+    level = F.when(F.col("exposure_composite").isNotNull(), by_value)
+    return staged(base.join(df.select(id_column, "exposure_composite", level.alias("exposure_level")), id_column, "left"))
 
 
 def add_rural_margin(df: DataFrame, crossing: Column) -> DataFrame:
@@ -220,8 +223,8 @@ def add_environment_rank(df: DataFrame) -> DataFrame:
 def scored(segments: DataFrame) -> DataFrame:
     """All steps up to the score, with the stand-ins that the driver's tables need."""
     df = segments.withColumn("road_structure_confidence", F.when(F.col("piece_no") % 5 == 0, "low").otherwise("high"))
-    df = add_benefit(add_misalignment(add_plausibility(add_safe_speed(df))))
-    return add_score(add_rural_margin(add_exposure(df), F.col("piece_no") % 2 == 0))
+    df = add_misalignment(add_plausibility(add_safe_speed(df)))
+    return add_score(add_benefit(add_rural_margin(add_exposure(df), F.col("piece_no") % 2 == 0)))
 
 
 def overlap(base: DataFrame, other: DataFrame) -> DataFrame:
