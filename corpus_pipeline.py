@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from kerbline.llm import decontam, langid, mixing, neardup, token_store
 from kerbline.llm.shared import cut
 
-#: Texts whose language is less certain than this are rejected, beside those without any letter.
-LEAST_CERTAIN = 0.5
+#: Texts whose language is less certain than this are rejected, beside those without any letter; mixed texts stay.
+LEAST_CERTAIN = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
