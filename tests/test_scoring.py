@@ -107,3 +107,12 @@ def test_contract(spark, name):
         assert e.entry(spark).count() > 0
     else:
         assert set(e.oracle_sql()) <= set(e.queries()) and len(getattr(e, name)()) > 60
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
