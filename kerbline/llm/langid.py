@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release_memory
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -191,6 +193,7 @@ def _predict(model: Model | None):
         for texts in batches:
             names, scores = predictor.texts(texts.to_list()) if predictor else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
+        release_memory()
 
     return F.pandas_udf(run, "lang_pred string, score double")
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
+from .shared import cut, release_memory
 from .shingles import hash_family, set_name, shingle_set, signature
 
 COORDINATES = 48
@@ -58,6 +58,7 @@ def _features(width: int):
             yield pd.DataFrame(
                 {"key": batch["key"], "n": [len(s) for s in sets], "name": [set_name(s) if len(s) else None for s in sets], "signature": [signature(s, family).view(np.int32) if len(s) else None for s in sets]}
             )
+        release_memory()
 
     return run
 
@@ -66,6 +67,7 @@ def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"], "shingles": [shingle_set(t, width).view(np.int64) for t in batch["text"]]})
+        release_memory()
 
     return run
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)[0]
 
 
+def release_memory() -> None:
+    """Hands a Python worker's free memory back to the system, as idle workers stay beside the next stages."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def salted_hash(seed: int, *columns: Column) -> Column:
     """60 bits of md5 over the seed and the columns, as a long from 0 up to 2^60 - 1; null counts as empty."""
     parts = [F.lit(str(seed)), *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)]

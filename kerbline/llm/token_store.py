@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repair
-from .shared import written
+from .shared import release_memory, written
 
 END = 0
 #: Words that a worker remembers, and a quarter as many pieces of words: about 120 MB.
@@ -234,7 +234,7 @@ def _encode_shard(path: str, end: int):
             row = {"shard": shard, "block": number, "n_ids": len(ids), "doc_ids": keys, "doc_lengths": [len(p) + 1 for p in parts], "base": packed.base}
             yield pa.RecordBatch.from_pylist([row | {k: getattr(packed, k).tobytes() for k in ("rules", "lengths", "symbols")}], schema)
         gc.enable()
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return run
 
