@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import speeds
@@ -32,7 +32,7 @@ CLASS_SHARES = {"Top Priority": 0.03, "Priority": 0.10, "Watch": 0.20}
 SHARE_TOLERANCE = 1e-9
 LOW_PRIORITY, EXCLUDED = "Low Priority", "Data Quality Issue (Excluded)"
 ON_LIST = tuple(CLASS_SHARES)
-DIVERGENCE, EXTREME_DIVERGENCE, IQR_FACTOR = 30.0, 60.0, 1.5
+DIVERGENCE, IQR_FACTOR = 30.0, 1.5
 SIGNALS = {"URBAN": ("pop_density", "sample_size_avg", "piece_no"), "RURAL": ("pop_density", "sample_size_avg")}
 RURAL_QUANTILE = 0.75
 LOW_SAMPLE_QUANTILE = 0.25
@@ -85,17 +85,18 @@ def add_misalignment(df: DataFrame) -> DataFrame:
 
 
 def add_plausibility(df: DataFrame) -> DataFrame:
-    """Outliers among the limits of a road class, and limits far from the 85th percentile of speeds."""
-    bounds = order.quantiles(df.filter(valid()), ["road_class"], "speed_limit", {"_q1": 0.25, "_q3": 0.75})
-    joined = df.join(bounds, "road_class", "left")
+    """Outliers among the limits of a country, road class and land use, and limits far from the 85th percentile of speeds."""
+    peers = ["country", "road_class", "land_use"]
+    bounds = order.quantiles(df.filter(valid()), peers, "speed_limit", {"_q1": 0.25, "_q3": 0.75})
+    joined = df.join(bounds, peers, "left").withColumn("speedlimit_f85_divergence", F.abs(F.col("f85_speed") - F.col("speed_limit")))
     spread = F.col("_q3") - F.col("_q1")
     far = (F.col("speed_limit") < F.col("_q1") - IQR_FACTOR * spread) | (F.col("speed_limit") > F.col("_q3") + IQR_FACTOR * spread)
-    outlier, apart = truth((spread > 0) & far), truth(F.abs(F.col("f85_speed") - F.col("speed_limit")) > DIVERGENCE)
+    outlier, apart = truth((spread > 0) & far), truth(F.col("speedlimit_f85_divergence") > DIVERGENCE)
     level = F.when(outlier | apart, "low").otherwise("high")
     return joined.withColumns(
         {
             "speedlimit_roadclass_outlier": F.when(valid(), outlier),
-            "speedlimit_f85_divergence": F.when(valid(), apart),
+            "speedlimit_extreme_divergence": F.when(valid(), apart),
             "speedlimit_plausibility": F.when(valid(), level),
         }
     ).drop("_q1", "_q3")
@@ -240,8 +241,3 @@ def overlap(base: DataFrame, other: DataFrame) -> DataFrame:
         "n_baseline", "n_other", "n_overlap", "km_baseline", "km_other", "km_overlap",
         F.try_divide("km_overlap", "km_baseline").alias("recall_of_baseline"), F.try_divide("km_overlap", "_km_union").alias("jaccard"),
     )
-
-
-def first_by(df: DataFrame, keys: Sequence[str], *by: Column, name: str = "_rank", most: int = 1) -> DataFrame:
-    """The first rows of each group in an order."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter(F.col(name) <= most)

@@ -38,9 +38,9 @@ GAPS = """
 gaps AS (SELECT *, CASE WHEN data_quality_flag IS NULL THEN speed_limit - v_safe END AS misalignment, CASE WHEN data_quality_flag IS NULL THEN f85_speed - v_safe END AS operating_gap,
   CASE WHEN data_quality_flag IS NULL THEN greatest(speed_limit - v_safe, 0) END AS misalignment_magnitude, CASE WHEN data_quality_flag IS NULL THEN greatest(v_safe - speed_limit, 0) END AS excess_caution_magnitude FROM safe)"""
 PLAUSIBLE = """
-fences AS (SELECT road_class, quantile_cont(speed_limit, 0.25) AS q1, quantile_cont(speed_limit, 0.75) AS q3 FROM gaps WHERE data_quality_flag IS NULL GROUP BY road_class),
-judged AS (SELECT gaps.*, q3 > q1 AND (speed_limit < q1 - 1.5 * (q3 - q1) OR speed_limit > q3 + 1.5 * (q3 - q1)) AS outlier, coalesce(abs(f85_speed - speed_limit) > 30, false) AS apart FROM gaps LEFT JOIN fences USING (road_class)),
-plausible AS (SELECT * EXCLUDE (outlier, apart), CASE WHEN data_quality_flag IS NULL THEN outlier END AS speedlimit_roadclass_outlier, CASE WHEN data_quality_flag IS NULL THEN apart END AS speedlimit_f85_divergence,
+fences AS (SELECT country, road_class, land_use, quantile_cont(speed_limit, 0.25) AS q1, quantile_cont(speed_limit, 0.75) AS q3 FROM gaps WHERE data_quality_flag IS NULL GROUP BY ALL),
+judged AS (SELECT gaps.*, q3 > q1 AND (speed_limit < q1 - 1.5 * (q3 - q1) OR speed_limit > q3 + 1.5 * (q3 - q1)) AS outlier, coalesce(abs(f85_speed - speed_limit) > 30, false) AS apart FROM gaps LEFT JOIN fences USING (country, road_class, land_use)),
+plausible AS (SELECT * EXCLUDE (outlier, apart), abs(f85_speed - speed_limit) AS speedlimit_f85_divergence, CASE WHEN data_quality_flag IS NULL THEN outlier END AS speedlimit_roadclass_outlier, CASE WHEN data_quality_flag IS NULL THEN apart END AS speedlimit_extreme_divergence,
   CASE WHEN data_quality_flag IS NULL THEN CASE WHEN outlier OR apart THEN 'low' ELSE 'high' END END AS speedlimit_plausibility FROM judged)"""
 
 
@@ -121,11 +121,11 @@ def q06(spark, d):
 
 @query(
     "q07_plausibility_iqr",
-    f"WITH {SEGMENTS}, {SAFE}, {GAPS}, {PLAUSIBLE} SELECT segment_id, speedlimit_roadclass_outlier, speedlimit_f85_divergence, speedlimit_plausibility FROM plausible",
+    f"WITH {SEGMENTS}, {SAFE}, {GAPS}, {PLAUSIBLE} SELECT segment_id, speedlimit_roadclass_outlier, speedlimit_f85_divergence, speedlimit_extreme_divergence, speedlimit_plausibility FROM plausible",
 )
 def q07(spark, d):
     df = scoring.add_misalignment(scoring.add_safe_speed(_segments(spark, d)))
-    return scoring.add_plausibility(df).select("segment_id", "speedlimit_roadclass_outlier", "speedlimit_f85_divergence", "speedlimit_plausibility")
+    return scoring.add_plausibility(df).select("segment_id", "speedlimit_roadclass_outlier", "speedlimit_f85_divergence", "speedlimit_extreme_divergence", "speedlimit_plausibility")
 
 
 @query("q08_exposure_tertile", f"{UP_TO_EXPOSURE} SELECT segment_id, round(exposure_composite, 9) AS exposure_composite, exposure_level, exposure_confidence FROM exposure")
@@ -244,7 +244,7 @@ _SCENARIOS = list(scoring.WEIGHT_SCENARIOS.items())
 @query(
     "q15_sensitivity_weights",
     f"{UP_TO_EXPOSURE}, {_score()}, {_classes('b0')}, "
-    + ", ".join(f"{_score(', '.join(map(repr, w)), f's{i}')}, {_classes(f'c{i}', f's{i}')}" for i, (_, w) in enumerate(_SCENARIOS)).replace("FROM exposure)", "FROM exposure)")
+    + ", ".join(f"{_score(', '.join(map(repr, w)), f's{i}')}, {_classes(f'c{i}', f's{i}')}" for i, (_, w) in enumerate(_SCENARIOS))
     + " ".join(("" if i == 0 else " UNION ALL ") + f" SELECT '{label}' AS scenario, * FROM ({_overlap_sql('b0', f'c{i}')})" for i, (label, _) in enumerate(_SCENARIOS)),
 )
 def q15_weights(spark, d):
