@@ -80,17 +80,18 @@ def features(docs: DataFrame, *, key: str, text: str, width: int) -> DataFrame:
 def postings(classes: DataFrame, percent: int) -> DataFrame:
     """Classes that can have a partner, with the tokens they are posted under: key, n, band, signature, prefix.
 
-    Sets whose sizes differ by more than the similarity allows cannot be linked, so the holders of a token are counted
-    within a band of sizes and its two neighbours.
+    Sets whose sizes differ by more than the similarity allows cannot be linked, so a token is dropped if no other class
+    of its band of sizes and the two neighbours holds it.  What stays is in order of the holders in all bands: two
+    classes can only rely on each other's prefixes if they order their common tokens alike.
     """
     band = F.floor(F.log("n") / F.log(F.lit(100.000001 / percent))).cast("int")
     tokens = classes.select("key", band.alias("band"), F.posexplode("signature").alias("_at", "_value"))
     tokens = tokens.select("key", "band", (F.shiftleft(F.col("_at").cast("long"), 32) + F.col("_value").cast("long") + (1 << 31)).alias("token"))
     counts = tokens.groupBy("token", "band").agg(F.count(F.lit(1)).alias("_n"))
-    shared = counts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "_n"))).alias("_bands"), F.sum("_n").alias("_all")).filter("_all > 1").select("token", "_bands")
+    shared = counts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "_n"))).alias("_bands"), F.sum("_n").alias("_all")).filter("_all > 1")
     near = lambda shift: F.coalesce(F.try_element_at("_bands", F.col("band") + shift), F.lit(0))
-    held = tokens.join(shared, "token").select("key", "band", "token", (near(-1) + near(0) + near(1)).alias("holders")).filter("holders > 1")
-    held = held.groupBy("key", "band").agg(F.collect_list(F.struct("holders", "token")).alias("_held")).filter(F.size("_held") >= MATCH)
+    held = tokens.join(shared, "token").filter(near(-1) + near(0) + near(1) > 1).select("key", "band", "token", "_all")
+    held = held.groupBy("key", "band").agg(F.collect_list(F.struct("_all", "token")).alias("_held")).filter(F.size("_held") >= MATCH)
     alone = F.lit(COORDINATES) - F.size("_held")
     able = held.select("key", "band", F.transform(F.slice(F.array_sort("_held"), F.lit(1), F.lit(PREFIX) - alone), lambda x: x["token"]).alias("prefix"))
     return classes.join(able, "key").select("key", "n", "band", "signature", "prefix")

@@ -405,6 +405,23 @@ def test_near_duplicates_match_brute_force(spark, width, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out.collect())
 
 
+def test_hot_passages_around_a_band_edge(spark, monkeypatch):
+    """x and y are in bands 9 and 10; one hot passage is common in band 8, the other in band 11."""
+    unlike = itertools.count(1)
+    edge = int(1.25000001**10)  # 9 words are in band 9, 10 in band 10
+    filler = lambda n: [next(unlike) for _ in range(n)]
+    x_only, y_only, one, two = filler(22), filler(22), filler(13), filler(13)
+    texts = {0: " ".join(f"w{i}" for i in range(edge)), 1: " ".join(f"w{i}" for i in range(edge + 1))}
+    rows = [(0, edge, "x", x_only + two + one), (1, edge + 1, "y", y_only + two + one), (2, edge, "x2", x_only + filler(26)), (3, edge + 1, "y2", y_only + filler(26))]
+    rows += [(10 + i, 7, f"a{i}", filler(35) + one) for i in range(8)] + [(30 + i, 13, f"b{i}", filler(22) + two + filler(13)) for i in range(8)]
+    facts = spark.createDataFrame(rows, "key long, n int, name string, signature array<int>")
+    able = {r["key"]: r for r in neardup.postings(facts, 80).collect()}
+    assert able[0]["band"] + 1 == able[1]["band"] and set(able[0]["prefix"]) & set(able[1]["prefix"])
+    monkeypatch.setattr(neardup, "features", lambda docs, **_: facts)
+    docs = docs_of(spark, [texts.get(i, f"alone{i}") for i in range(40)])
+    assert by_id(neardup.near_duplicates(docs, width=1), "component_id")[1] == 0
+
+
 def test_near_duplicate_edge_cases(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     docs = docs_of(spark, ["same words here", "same words here"])
