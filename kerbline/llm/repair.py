@@ -1,7 +1,7 @@
 """Re-Pair grammar compression of id sequences, in numpy.
 
 Each round counts all adjacent pairs, gives the most frequent ones a nonterminal each, and replaces their occurrences
-from left to right without overlap.  A block keeps its rules, the expansion length of each rule, and the remaining
+from left to right without overlap, until no pair is frequent.  A block keeps its rules, the expansion length of each rule, and the remaining
 symbols, so any range of ids can be decoded alone: a running sum of expansion lengths leads to the symbols that cover it.
 """
 
@@ -13,11 +13,12 @@ import numpy as np
 
 #: Ids of a block at most, besides the rest of a document.
 BLOCK_IDS = 1 << 20
-ROUNDS = 2
+#: Rounds go on until no pair is frequent; a text of repeats gets so many at least.
+ROUNDS = 5
 #: New rules of a round at most, and how often a pair must occur to get one.
 RULES = 4096
 LEAST = 24
-_BUCKETS = 17
+_BUCKETS = 20
 
 
 class Block(NamedTuple):
@@ -27,31 +28,44 @@ class Block(NamedTuple):
     symbols: np.ndarray  # uint32
 
 
-def _frequent(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent pairs, as (left, right) rows; positions that hold one; and which one each holds.
+def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) ^ (right * np.uint32(0x85EBCA77) + np.uint32(1))) >> np.uint32(32 - _BUCKETS)
 
-    Pairs are counted by hash bucket.  A bucket stands for one of the pairs in it, so a frequent pair can go unseen for
-    a round, but what is returned is exact.
+
+def _frequent(symbols: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pairs, as (left, right) rows; positions that hold one; which one each holds; all frequent positions.
+
+    Only the open positions are looked at.  Counts by hash bucket are upper bounds and only sort out what cannot be
+    frequent; the rest is counted exactly.
     """
-    left, right = symbols[:-1], symbols[1:]
-    bucket = (left * np.uint32(0x9E3779B1) ^ (right * np.uint32(0x85EBCA77) + np.uint32(1))) >> np.uint32(32 - _BUCKETS)
-    counts = np.bincount(bucket, minlength=1 << _BUCKETS)
-    top = np.flatnonzero(counts >= LEAST)
-    if len(top) > RULES:
-        top = top[np.argsort(-counts[top], kind="stable")[:RULES]]
-    rank = np.full(1 << _BUCKETS, -1, np.int32)
-    rank[top] = np.arange(len(top))
-    of = rank[bucket]
-    at = np.flatnonzero(of >= 0)
-    of, left, right = of[at], left[at], right[at]
-    pairs = np.zeros((len(top), 2), np.uint32)
-    pairs[of, 0], pairs[of, 1] = left, right
-    same = (pairs[of, 0] == left) & (pairs[of, 1] == right)
-    at, of = at[same], of[same]
-    enough = np.bincount(of, minlength=len(top)) >= LEAST
-    number = np.cumsum(enough) - 1
-    kept = enough[of]
-    return pairs[enough], at[kept], number[of[kept]]
+    left, right = symbols[open_], symbols[open_ + 1]
+    bucket = _bucket(left, right)
+    may = np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKETS)[bucket] >= LEAST)
+    codes = (left[may].astype(np.uint64) << np.uint64(32)) | right[may]
+    kinds = np.sort(codes)
+    starts = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]])) if len(kinds) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(kinds)))
+    often = counts >= LEAST
+    kinds, counts = kinds[starts[often]], counts[often]
+    if not len(kinds):
+        return np.empty((0, 2), np.uint32), open_[:0], open_[:0], open_[:0]
+    # a bucket leads to one of its frequent pairs; the few others are searched for
+    table = np.full(1 << _BUCKETS, -1, np.int32)
+    table[_bucket((kinds >> np.uint64(32)).astype(np.uint32), kinds.astype(np.uint32))] = np.arange(len(kinds))
+    of = table[bucket[may]]
+    other = np.flatnonzero(kinds[of] != codes)
+    of[other] = np.minimum(np.searchsorted(kinds, codes[other]), len(kinds) - 1)
+    hit = kinds[of] == codes
+    at, of = open_[may[hit]], of[hit]
+    number = np.arange(len(kinds))
+    if len(kinds) > RULES:
+        top = np.sort(np.argsort(-counts, kind="stable")[:RULES])
+        number = np.full(len(counts), -1)
+        number[top] = np.arange(RULES)
+        kinds = kinds[top]
+    chosen = number[of] >= 0
+    pairs = np.stack([kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    return pairs, at[chosen], number[of[chosen]], at
 
 
 def _apart(at: np.ndarray) -> np.ndarray:
@@ -65,27 +79,31 @@ def _apart(at: np.ndarray) -> np.ndarray:
 
 def compress(ids: np.ndarray, base: int) -> Block:
     """ids are below base."""
-    symbols = np.ascontiguousarray(ids, dtype=np.uint32)
+    symbols = np.array(ids, dtype=np.uint32)
     rules: list[np.ndarray] = []
-    lengths = np.empty(0, np.uint32)
+    known = np.ones(base, np.uint32)
     made = 0
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        pairs, at, which = _frequent(symbols)
+    # a pair that was seldom in one round can only be seldomer in the next, so only frequent ones and those with a new
+    # symbol stay open
+    open_ = np.arange(max(0, len(symbols) - 1))
+    while True:
+        pairs, at, which, frequent = _frequent(symbols, open_)
         if not len(pairs):
             break
         keep = _apart(at)
-        which = which[np.searchsorted(at, keep)]
-        symbols = symbols.copy()
-        symbols[keep] = (base + made + which).astype(np.uint32)
+        symbols[keep] = (base + made + which[np.searchsorted(at, keep)]).astype(np.uint32)
+        live = np.zeros(len(symbols) + 1, bool)
+        live[frequent] = True
+        live[keep] = True
         stays = np.ones(len(symbols), bool)
         stays[keep + 1] = False
-        symbols = symbols[stays]
-        known = np.concatenate([np.ones(base, np.uint32), lengths])
-        lengths = np.concatenate([lengths, known[pairs[:, 0]] + known[pairs[:, 1]]])
+        symbols, live = symbols[stays], live[:-1][stays]
+        live[:-1] |= symbols[1:] >= base + made
+        open_ = np.flatnonzero(live[:-1])
+        known = np.concatenate([known, known[pairs[:, 0]] + known[pairs[:, 1]]])
         rules.append(pairs)
         made += len(pairs)
+    lengths = known[base:]
     return Block(base, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), lengths, symbols)
 
 

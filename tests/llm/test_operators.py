@@ -334,6 +334,21 @@ def test_grammar_round_trip():
     assert len(block.symbols) <= len(ids) / 2**repair.ROUNDS + 1  # each round can halve a text of repeats
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent(monkeypatch):
+    rng = np.random.default_rng(10)
+    copies = np.tile(rng.integers(0, 50_000, 3000), 30)
+    zipf = np.minimum(rng.zipf(1.3, 60_000), 50_000)
+    for buckets in (repair._BUCKETS, 3):  # how pairs fall into buckets makes no difference
+        monkeypatch.setattr(repair, "_BUCKETS", buckets)
+        for ids in (copies, zipf, np.tile([1, 2, 1, 1, 2], 3000)):
+            block = repair.compress(ids.astype(np.uint32), 50_257)
+            assert (repair.Decoder(block).whole() == ids).all()
+            left = Counter(zip(block.symbols[:-1].tolist(), block.symbols[1:].tolist()))
+            assert max(left.values(), default=0) < repair.LEAST
+    one = repair.compress(copies.astype(np.uint32), 50_257)
+    assert len(one.symbols) <= len(copies) / 16 and one.lengths.max() >= 16  # two rounds cannot get below a quarter
+
+
 def _plain(text):
     from tokenizers import Tokenizer
 
