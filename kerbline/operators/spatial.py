@@ -7,9 +7,13 @@ distance decides.  Spark splits cells that hold many rows when it joins.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def along(px: str = "px", py: str = "py") -> Column:
     """Where on the edge (x1, y1)-(x2, y2) the nearest point lies, from 0 to 1."""
@@ -49,16 +53,22 @@ def nearest(pairs: DataFrame, key: str, *ties: str) -> DataFrame:
     return pairs.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
 
 
-def expanding_nearest(one: DataFrame, two: DataFrame, key: str, tie: str, first: float, rounds: int = 12) -> DataFrame:
-    """Nearest of `two` (px, py) for each of `one` (ax, ay), however far: the radius doubles for those without a hit."""
-    left, found = one, None
-    for i in range(rounds):
-        hits = nearest(points_within(left, two, first * 2**i), key, tie)
+def expanding_nearest(one: DataFrame, two: DataFrame, key: str, tie: str, first: float) -> DataFrame:
+    """Nearest of `two` (px, py) for each of `one` (ax, ay), however far: the radius doubles for those without a hit.
+
+    It ends when all have one, or when the radius covers the box around all points.  Coordinates are finite or null.
+    """
+    one, two = staged(one), staged(two)
+    box = one.select(F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(two.select(F.col("px").alias("x"), F.col("py").alias("y"))).agg(*[f(c) for c in "xy" for f in (F.min, F.max)]).first()
+    reach = 0.0 if None in box else math.hypot(box[1] - box[0], box[3] - box[2])
+    left, found, radius = one, None, first
+    while True:
+        hits = staged(nearest(points_within(left, two, radius), key, tie))
         found = hits if found is None else found.unionByName(hits)
-        left = left.join(hits.select(key), key, "left_anti")
-        if left.isEmpty():
-            break
-    return found
+        left = staged(left.join(hits.select(key), key, "left_anti"))
+        if radius > reach or left.isEmpty():
+            return found
+        radius *= 2
 
 
 def merged_intervals(spans: DataFrame, keys: list[str], low: str = "lo", high: str = "hi", gap: float = 0.0) -> DataFrame:

@@ -36,6 +36,13 @@ def test_nearest_however_far(spark):
     assert sorted((r["a"], r["b"], r["dist"]) for r in spatial.expanding_nearest(a, b, "a", "b", 10.0).collect()) == [(1, 7, 5.0), (2, 9, 4000.0)]
 
 
+def test_nearest_beyond_twelve_doublings(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, -1e6, 0.0), (3, None, 0.0)], "a int, ax double, ay double")
+    b = spark.createDataFrame([(7, 0.5, 0.0), (8, 0.0, 9e6), (9, None, None)], "b int, px double, py double")
+    assert sorted((r["a"], r["b"], r["dist"]) for r in spatial.expanding_nearest(a, b, "a", "b", 1.0).collect()) == [(1, 7, 0.5), (2, 7, 1e6 + 0.5)]
+    assert spatial.expanding_nearest(a, b.limit(0), "a", "b", 1.0).count() == 0
+
+
 def test_intervals_merge(spark):
     df = spark.createDataFrame([("a", 0.0, 2.0), ("a", 1.0, 3.0), ("a", 3.0, 4.0), ("a", 6.0, 7.0), ("b", 0.0, 1.0)], "k string, lo double, hi double")
     assert sorted(tuple(r) for r in spatial.merged_intervals(df, ["k"]).collect()) == [("a", 0.0, 4.0), ("a", 6.0, 7.0), ("b", 0.0, 1.0)]
