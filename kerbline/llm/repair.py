@@ -1,8 +1,9 @@
 """Re-Pair grammar compression of id sequences, in numpy.
 
 Each round counts all adjacent pairs, gives the most frequent ones a nonterminal each, and replaces their occurrences
-from left to right without overlap, until no pair is frequent.  A block keeps its rules, the expansion length of each rule, and the remaining
-symbols, so any range of ids can be decoded alone: a running sum of expansion lengths leads to the symbols that cover it.
+from left to right without overlap, until no pair is frequent.  A block keeps its rules, the expansion length of each
+rule, and the remaining symbols, so any range of ids can be decoded alone: a running sum of expansion lengths leads to
+the symbols that cover it.
 """
 
 from __future__ import annotations
