@@ -241,3 +241,22 @@ def overlap(base: DataFrame, other: DataFrame) -> DataFrame:
         "n_baseline", "n_other", "n_overlap", "km_baseline", "km_other", "km_overlap",
         F.try_divide("km_overlap", "km_baseline").alias("recall_of_baseline"), F.try_divide("km_overlap", "_km_union").alias("jaccard"),
     )
+
+
+# fixed values: vehicles a day per probe, and the growth that carries them to 2025, by country
+AADT_WEIGHTED = {"maharashtra": 1.0953284597075048, "thailand": 0.045002453618601286}
+AADT_TO_2025 = {"maharashtra": 1.0, "thailand": 1.0244247444990198}
+AADT_LEAST, AADT_MOST = 10, 200_000
+
+
+def add_aadt(df: DataFrame, scales: Mapping[str, float] | None = None) -> DataFrame:
+    """`aadt`, the daily traffic of a parent, the same on all its pieces; pieces that disagree, or an unknown country, are an error."""
+    scales = scales or {country: scale * AADT_TO_2025[country] for country, scale in AADT_WEIGHTED.items()}
+    scale = F.lit(None).cast("double")
+    for country, value in scales.items():
+        scale = F.when(F.col("country") == country, F.lit(value)).otherwise(scale)
+    parents = df.groupBy("country", "parent_id").agg(F.min("sample_size_avg").alias("_probes"), F.max("sample_size_avg").alias("_most"))
+    sound = F.col("_probes").isNotNull() & (F.col("_probes") == F.col("_most")) & scale.isNotNull()
+    volume = F.greatest(F.lit(AADT_LEAST), F.least(F.lit(AADT_MOST), F.rint(F.col("_probes") * scale))).cast("long")
+    aadt = F.when(sound, volume).otherwise(F.raise_error(F.lit("probes or country of a parent cannot be used")).cast("long"))
+    return df.join(parents.select("country", "parent_id", aadt.alias("aadt")), ["country", "parent_id"])

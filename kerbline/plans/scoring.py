@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,21 +203,12 @@ def q13(spark, d):
     return df.groupBy("country", "land_use", "priority_class").agg(F.min("safety_score").alias("min_score"), F.count(F.lit(1)).alias("n"), F.round(F.sum("length_m").cast("double") / 1000, 3).alias("km"))
 
 
-AADT_SCALES = {"thailand": 1.0953284597075048 * 1.0, "maharashtra": 0.045002453618601286 * 1.0244247444990198}
-
-
 @query(
     "q14_aadt",
-    f"WITH {SEGMENTS} SELECT segment_id, parent_id, greatest(10, least(200000, round_even(sample_size_avg * CASE country WHEN 'thailand' THEN {AADT_SCALES['thailand']!r} ELSE {AADT_SCALES['maharashtra']!r} END, 0)))::BIGINT AS aadt FROM segments",
+    f"WITH {SEGMENTS} SELECT segment_id, parent_id, greatest(10, least(200000, round_even(sample_size_avg * CASE country WHEN 'thailand' THEN 4.610162705006461e-2 WHEN 'maharashtra' THEN 1.0953284597075048e0 END, 0)))::BIGINT AS aadt FROM segments",
 )
 def q14(spark, d):
-    """Daily traffic of a parent, the same on all its pieces; pieces that disagree, or an unknown country, are an error."""
-    df = _segments(spark, d)
-    scale = reduce(lambda a, x: F.when(F.col("country") == x[0], F.lit(x[1])).otherwise(a), AADT_SCALES.items(), F.lit(None).cast("double"))
-    parents = df.groupBy("country", "parent_id").agg(F.min("sample_size_avg").alias("probes"), F.max("sample_size_avg").alias("_most"))
-    sound = F.col("probes").isNotNull() & (F.col("probes") == F.col("_most")) & scale.isNotNull()
-    aadt = F.when(sound, F.greatest(F.lit(10), F.least(F.lit(200_000), F.rint(F.col("probes") * scale))).cast("long")).otherwise(F.raise_error(F.lit("probes or country of a parent cannot be used")).cast("long"))
-    return df.join(parents.select("country", "parent_id", aadt.alias("aadt")), ["country", "parent_id"]).select("segment_id", "parent_id", "aadt")
+    return scoring.add_aadt(_segments(spark, d)).select("segment_id", "parent_id", "aadt")
 
 
 def _overlap_sql(base: str, other: str) -> str:

@@ -116,3 +116,9 @@ def test_queries_are_listed_without_a_session():
 
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=120)
     assert said.returncode == 0, said.stderr
+
+
+def test_daily_traffic_by_country(spark):
+    rows = [("thailand", 1, "a", 1000.0), ("maharashtra", 2, "b", 1000.0), ("maharashtra", 2, "c", 1000.0), ("thailand", 3, "d", 1.0), ("maharashtra", 4, "e", 1e9)]
+    df = spark.createDataFrame(rows, "country string, parent_id int, segment_id string, sample_size_avg double")
+    assert {r["segment_id"]: r["aadt"] for r in scoring.add_aadt(df).collect()} == {"a": 46, "b": 1095, "c": 1095, "d": 10, "e": 200_000}
