@@ -39,7 +39,8 @@ def _frequent(symbols: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.nd
     Only the open positions are looked at.  Counts by hash bucket are upper bounds and only sort out what cannot be
     frequent; the rest is counted exactly.
     """
-    left, right = symbols[open_], symbols[open_ + 1]
+    whole = len(open_) == len(symbols) - 1
+    left, right = (symbols[:-1], symbols[1:]) if whole else (symbols[open_], symbols[open_ + 1])
     bucket = _bucket(left, right)
     may = np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKETS)[bucket] >= LEAST)
     codes = (left[may].astype(np.uint64) << np.uint64(32)) | right[may]
@@ -57,25 +58,27 @@ def _frequent(symbols: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.nd
     other = np.flatnonzero(kinds[of] != codes)
     of[other] = np.minimum(np.searchsorted(kinds, codes[other]), len(kinds) - 1)
     hit = kinds[of] == codes
-    at, of = open_[may[hit]], of[hit]
-    number = np.arange(len(kinds))
+    at, of = may[hit] if whole else open_[may[hit]], of[hit]
+    taken, which = at, of
     if len(kinds) > RULES:
         top = np.sort(np.argsort(-counts, kind="stable")[:RULES])
-        number = np.full(len(counts), -1)
+        number = np.full(len(counts), -1, np.int32)
         number[top] = np.arange(RULES)
         kinds = kinds[top]
-    chosen = number[of] >= 0
+        which = number[of]
+        chosen = which >= 0
+        taken, which = at[chosen], which[chosen]
     pairs = np.stack([kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-    return pairs, at[chosen], number[of[chosen]], at
+    return pairs, taken, which, at
 
 
 def _apart(at: np.ndarray) -> np.ndarray:
-    """Every other position of each run of neighbours, so that no two pairs overlap."""
-    if not len(at):
-        return at
-    first = np.concatenate([[True], np.diff(at) != 1])
-    start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-    return at[(np.arange(len(at)) - start) % 2 == 0]
+    """Which positions to take, every other one of each run of neighbours, so that no two pairs overlap."""
+    places = np.arange(len(at), dtype=np.int32)
+    start = places.copy()
+    start[1:][np.diff(at) == 1] = 0
+    np.maximum.accumulate(start, out=start)
+    return np.flatnonzero(((places - start) & 1) == 0)
 
 
 def compress(ids: np.ndarray, base: int) -> Block:
@@ -91,8 +94,9 @@ def compress(ids: np.ndarray, base: int) -> Block:
         pairs, at, which, frequent = _frequent(symbols, open_)
         if not len(pairs):
             break
-        keep = _apart(at)
-        symbols[keep] = (base + made + which[np.searchsorted(at, keep)]).astype(np.uint32)
+        apart = _apart(at)
+        keep = at[apart]
+        symbols[keep] = (base + made + which[apart]).astype(np.uint32)
         live = np.zeros(len(symbols) + 1, bool)
         live[frequent] = True
         live[keep] = True

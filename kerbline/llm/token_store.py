@@ -140,9 +140,10 @@ class Encoder:
         table = self._words(words.dictionary.to_pylist(), own)
         unsafe = np.array([ids is None for ids in table])
         heads = pc.list_element(lists, 0).to_pylist()
-        odd = np.zeros(len(texts), bool)
+        marked = np.zeros(len(table), bool)
         for mark in (*_ODD, "'"):
-            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+            marked |= pc.match_substring(words.dictionary, mark).to_numpy(zero_copy_only=False)
+        odd = np.logical_or.reduceat(marked[which], first)
         at_fault = unsafe[which]
         at_fault[first] = False
         bad = np.logical_or.reduceat(at_fault, first)
@@ -174,8 +175,10 @@ class Encoder:
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    before = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+    shift = (starts - (np.cumsum(sizes) - sizes)).astype(np.int32)
+    out = np.repeat(shift, sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def encoder(path: str) -> Encoder:
@@ -202,7 +205,7 @@ def blocks_of(docs: Iterable[tuple[int, np.ndarray]], most: int) -> Iterator[tup
         yield keys, parts
 
 
-def slices(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
     """Offset and length of runs of texts with about `most` bytes."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     group = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
