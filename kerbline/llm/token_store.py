@@ -68,6 +68,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         config = json.loads(self.tokenizer.to_str())
         split = config["pre_tokenizer"] or {}
         #: Whether texts can be cut as described above; else every text is encoded whole.
@@ -78,7 +79,8 @@ class Encoder:
 
     def _one(self, piece: str) -> bytes:
         """The ids of a run of letters with a space or nothing before it, which the tokenizer takes as one unit."""
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_SYMBOLS))]).tobytes()
+        symbols = piece.replace(" ", _SYMBOLS[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(_SYMBOLS)
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -91,7 +93,12 @@ class Encoder:
                 # letters to Python's expressions, but not to the tokenizer: numbers such as superscripts
                 if x[-1].isalnum() and not x[-1].isdecimal() and not x.strip().replace("'", "").isalpha():
                     return self._plain(text)
-                ids = self._one(x) if (x[1:] if x[0] == " " else x).isalpha() else self._plain(x)
+                if (x[1:] if x[0] == " " else x).isalpha():
+                    ids = self._one(x)
+                elif x[0] == "\n" and x[1:].isalpha():
+                    ids = self._plain("\n") + self._one(x[1:])  # only a single space goes with the letters after it
+                else:
+                    ids = self._plain(x)
                 if len(known) < REMEMBERED // 4:
                     known[x] = ids
             found.append(ids)
@@ -111,7 +118,8 @@ class Encoder:
                     if len(core) < len(word):
                         if len(known) < REMEMBERED:
                             known[core] = ids
-                        ids += self._by_pieces(word[len(core) :])
+                        mark = word[len(core) :]
+                        ids += self.pieces.get(mark) or self._by_pieces(mark)
                 elif not word or word[0].isspace() or word[-1].isspace():
                     continue
                 else:
