@@ -13,28 +13,36 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import staged
+from ..sources.staging import remove_table, staged, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label) for every node of an edge: the least node that edges lead to.
+    """(node, label) for every node that has an edge to another: the least node that edges lead to.
 
-    Each round renames nodes to the least name among neighbours and drops edges within a name; edges keep groups together,
-    so the names that remain are the components.
+    In each round every node takes the least name among its neighbours and itself, edges are renamed by that, and edges
+    within one name go.  An edge keeps joining the groups at its ends, so when none is left all nodes of a component
+    have one name, and that is its least node, which never changes its own.  Rounds grow with the logarithm of the
+    longest path; the tables of a round go when the next one is written.
     """
-    left = staged(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
-    labels = None
-    while not left.isEmpty():
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        names = staged(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("name")))
+    spark = edges.sparkSession
+    one, two = F.col(a), F.col(b)
+    left, at = written(edges.filter(one != two).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct(), "edges")
+    labels = labels_at = None
+    while labels is None or not left.isEmpty():
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        names, names_at = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("name")), "names")
         if labels is None:
-            labels = names.withColumnRenamed("name", "label")
+            labels, labels_at = names.select("node", F.col("name").alias("label")), names_at
         else:
-            labels = staged(labels.join(names.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("name", "label").alias("label")))
-        to = names.select("node", "name")
-        moved = left.join(to.toDF("a", "na"), "a").join(to.toDF("b", "nb"), "b").filter("na <> nb")
-        left = staged(moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
-    return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            old = labels_at
+            renamed = labels.join(names.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("name", "label").alias("label"))
+            labels, labels_at = written(renamed, "labels")
+            remove_table(spark, old)
+        old = at
+        moved = left.join(names.toDF("a", "na"), "a").join(names.toDF("b", "nb"), "b").filter("na <> nb")
+        left, at = written(moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct(), "edges")
+        remove_table(spark, old)
+    return labels
 
 
 def smooth(rows: DataFrame, *, key: str, line: str, place: str, value: str, length: str, most_length: float, excluded: str) -> tuple[DataFrame, int]:
@@ -86,28 +94,36 @@ def streamed(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def _leaders(radius: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        xy = group[["px", "py"]].to_numpy()
-        leader = np.full(len(group), -1)
-        for i in range(len(group)):
-            if leader[i] < 0:
-                leader[(np.hypot(*(xy - xy[i]).T) <= radius) & (leader < 0)] = i
-        return group.assign(leader=group["id"].to_numpy()[leader])[["id", "leader", "px", "py", "first_seen"]]
+def greedy_leaders(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """points with `leader`: in order of (first_seen, id), each ungrouped point claims all ungrouped points it is paired with.
 
-    return run
-
-
-def greedy_leaders(points: DataFrame, pairs: DataFrame, radius: float) -> DataFrame:
-    """(id, leader): in order of first_seen, each ungrouped point claims all ungrouped points within the radius.
-
-    Claims cannot pass between clusters of pairs within the radius, so each cluster is worked through alone, and points
-    without a neighbour lead themselves.
+    pairs (a, b) are the ids of points within the radius, in any direction.  A point leads once none of the earlier
+    points around it can lead any more, and then all later ones around it cannot; so every round settles many points at
+    once, and what remains is the outcome of one walk in order.  In the end a point belongs to the earliest leader
+    around it.
     """
-    labels = components(pairs).withColumnRenamed("node", "id")
-    alone = points.join(labels, "id", "left_anti").select("id", F.col("id").alias("leader"), "px", "py", "first_seen")
-    schema = "id long, leader long, px double, py double, first_seen timestamp"
-    return alone.unionByName(streamed(points.join(labels, "id"), ["label"], ["first_seen", "id"], _leaders(radius), schema))
+    rank = F.struct("first_seen", "id")
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    one, two = points.select(F.col("id").alias("a"), rank.alias("_ra")), points.select(F.col("id").alias("b"), rank.alias("_rb"))
+    # each pair once, from the earlier to the later point
+    edges = staged(ends.join(one, "a").join(two, "b").filter("_ra < _rb").select("a", "b", F.col("_ra").alias("rank")), "edges")
+    left, leaders = edges, None
+    while True:
+        new = staged(left.select(F.col("a").alias("id")).distinct().join(left.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "leaders")
+        leaders = new if leaders is None else leaders.unionByName(new)
+        if new.isEmpty():
+            break
+        beaten = staged(left.join(new.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "beaten")
+        kept = left.join(new.withColumnRenamed("id", "a"), "a", "left_anti").join(beaten.withColumnRenamed("id", "a"), "a", "left_anti")
+        kept = staged(kept.join(beaten.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "rank"), "left")
+        # a point all of whose earlier neighbours are beaten, and that has no later ones left, leads as well
+        freed = left.select(F.col("b").alias("id")).unionByName(left.select(F.col("a").alias("id"))).distinct()
+        for gone in (new, beaten, kept.select(F.col("a").alias("id")), kept.select(F.col("b").alias("id"))):
+            freed = freed.join(gone.select("id").distinct(), "id", "left_anti")
+        leaders = leaders.unionByName(staged(freed, "leaders"))
+        left = kept
+    claims = edges.join(leaders.withColumnRenamed("id", "a"), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min_by("a", "rank").alias("leader"))
+    return points.join(claims, "id", "left").withColumn("leader", F.coalesce("leader", "id"))
 
 
 def frechet(one: np.ndarray, two: np.ndarray) -> float:

@@ -1,9 +1,9 @@
 """Order statistics within cells, without gathering a cell in one task.
 
 A window over a few large cells (four, say, for country and land use) would put each of them in a single task.  Here
-values are first counted, so ties take one row; then each cell is cut into ranges at approximate quantiles, windows run
-within a range, and a small table of the ranges' sums supplies what lies before it.  The results are exact: only where
-the ranges begin is approximate.
+rows are first dealt out to ranges of the whole order, ties and all, so neither a large cell nor a frequent value makes
+a large range; windows run within a range, and a small table of the ranges' sums supplies what lies before it.  The
+number of ranges grows with the rows.  Results are exact: only where the ranges begin depends on a sample.
 """
 
 from __future__ import annotations
@@ -16,49 +16,49 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import staged
 
-RANGES = 32
+ROWS_PER_RANGE = 100_000
 
 
-def _keyed(cells: Sequence[str]) -> list[str]:
-    return list(cells) or ["_all"]
-
-
-def running(df: DataFrame, cells: Sequence[str], first: str, order: Sequence[Column], value: str, ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, cells: Sequence[str], order: Sequence[Column], value: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """df with `_before`, the sum of value over the rows before in its cell, and `_total`, that over the cell.
 
-    `first` is a numeric column that the order begins with, ascending; order is the whole of it.  Rows need a non-null
-    `first` and non-null cells.
+    order is the whole order of rows in a cell.  Rows need non-null cells.
     """
-    keys = _keyed(cells)
-    if not cells:
-        df = df.withColumn("_all", F.lit(0))
     df = staged(df)
-    steps = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(first, steps, 20 * ranges).alias("_cuts"))
-    dealt = df.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(first)))).drop("_cuts")
-    sums = dealt.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
-    whole = Window.partitionBy(*keys)
+    ranges = -(-df.count() // rows_per_range)
+    if ranges > 1:
+        df = staged(df.repartitionByRange(ranges, *[F.col(c) for c in cells], *order).withColumn("_range", F.spark_partition_id()))
+    else:
+        df = df.withColumn("_range", F.lit(0))
+    keys = [*cells, "_range"]
+    whole = Window.partitionBy(*cells)
     earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"), F.sum("_sum").over(whole).alias("_total"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, [*keys, "_range"])
-    return out.withColumn("_before", F.col("_offset") + F.col("_inside")).drop("_range", "_offset", "_inside", "_all")
+    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    sums = sums.select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"), F.sum("_sum").over(whole).alias("_total"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, keys)
+    return out.withColumn("_before", F.col("_offset") + F.col("_inside")).drop("_range", "_offset", "_inside")
 
 
 def distribution(df: DataFrame, cells: Sequence[str], value: str) -> DataFrame:
     """Per cell and distinct non-null value: how often it occurs (n), how many are less (_before), how many there are (_total)."""
     present = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*cells, value]))
     counted = df.filter(present).groupBy(*cells, value).agg(F.count(F.lit(1)).alias("n"))
-    return running(counted, cells, value, [F.col(value)], "n")
+    return running(counted, cells, [F.col(value)], "n")
 
 
-def percent_ranks(df: DataFrame, cells: Sequence[str], values: Sequence[str], key: str) -> DataFrame:
-    """Per key, the average rank of each value over the count of its cell, as `_rank_` and the value's name; null stays null."""
-    long = df.select(*cells, key, F.explode(F.array(*[F.struct(F.lit(v).alias("of"), F.col(v).cast("double").alias("value")) for v in values])).alias("_v"))
-    long = staged(long.select(*cells, key, "_v.of", "_v.value"))
-    ranks = distribution(long, [*cells, "of"], "value").select(*cells, "of", "value", ((F.col("_before") + (F.col("n") + 1) / 2) / F.col("_total")).alias("_rank"))
-    ranked = long.join(ranks, [*cells, "of", "value"]).groupBy(key)
-    return ranked.agg(*[F.max(F.when(F.col("of") == v, F.col("_rank"))).alias(f"_rank_{v}") for v in values])
+def percent_ranks(df: DataFrame, cells: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """df with the average rank of each value over the count of its cell, as `_rank_` and the value's name; null stays null.
+
+    Ranks are found once per distinct value; where there are few of these, Spark broadcasts them and moves no rows.
+    """
+    pairs = F.array(*[F.struct(F.lit(v).alias("of"), F.col(v).cast("double").alias("value")) for v in values])
+    long = df.select(*cells, F.explode(pairs).alias("_v")).select(*cells, "_v.of", "_v.value")
+    ranks = staged(distribution(long, [*cells, "of"], "value").select(*cells, "of", "value", ((F.col("_before") + (F.col("n") + 1) / 2) / F.col("_total")).alias("_rank")))
+    for v in values:
+        own = ranks.filter(F.col("of") == v).select(*cells, F.col("value").alias("_value"), F.col("_rank").alias(f"_rank_{v}"))
+        df = df.withColumn("_value", F.col(v).cast("double")).join(own, [*cells, "_value"], "left").drop("_value")
+    return df
 
 
 def quantiles(df: DataFrame, cells: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:

@@ -33,7 +33,7 @@ SHARE_TOLERANCE = 1e-9
 LOW_PRIORITY, EXCLUDED = "Low Priority", "Data Quality Issue (Excluded)"
 ON_LIST = tuple(CLASS_SHARES)
 DIVERGENCE, IQR_FACTOR = 30.0, 1.5
-SIGNALS = {"URBAN": ("pop_density", "sample_size_avg", "piece_no"), "RURAL": ("pop_density", "sample_size_avg")}
+SIGNALS = {"URBAN": ("pop_density", "poi_count", "osm_poi_category_count", "is_mapillary_vru", "crossing_count"), "RURAL": ("pop_density", "poi_count", "osm_poi_category_count")}
 RURAL_QUANTILE = 0.75
 LOW_SAMPLE_QUANTILE = 0.25
 SOURCES = {"overture": "Overture/ADB probe data", "tomtom": "Overture/ADB, corroborated by TomTom Traffic Stats"}
@@ -120,40 +120,45 @@ def add_benefit(df: DataFrame) -> DataFrame:
     return df.withColumn("exp_delta_fatal_abs", F.col("exp_delta_fatal_percent_uniform") / 100 * F.col("sample_size_avg"))
 
 
-def add_exposure(df: DataFrame, signals: Mapping[str, Sequence[str]] = SIGNALS, id_column: str = "segment_id") -> DataFrame:
-    """`exposure_composite`: mean percent rank of the cell's signals; `exposure_level`: its tertile in the cell."""
-    base = staged(df)
+def exposure_levels(df: DataFrame, signals: Mapping[str, Sequence[str]] = SIGNALS, id_column: str = "segment_id") -> DataFrame:
+    """Per id: `exposure_composite`, the mean percent rank of the cell's signals, and `exposure_level`, its tertile in the cell."""
     names = list(dict.fromkeys(s for names in signals.values() for s in names))
-    df = base.select(*CELL, id_column, *names)
-    df = df.join(order.percent_ranks(df, CELL, names, id_column), id_column, "left")
+    df = order.percent_ranks(df.select(*CELL, id_column, *names), CELL, names)
     composite = F.lit(None).cast("double")
     for land_use, names in signals.items():
         total = sum((F.coalesce(f"_rank_{n}", F.lit(0.0)) for n in names[1:]), F.coalesce(f"_rank_{names[0]}", F.lit(0.0)))
         known = sum((F.col(f"_rank_{n}").isNotNull().cast("int") for n in names[1:]), F.col(f"_rank_{names[0]}").isNotNull().cast("int"))
         composite = F.when(F.col("land_use") == land_use, total / F.nullif(known, F.lit(0))).otherwise(composite)
     df = staged(df.select(*CELL, id_column, composite.alias("exposure_composite")))
-    edges = order.quantiles(df, CELL, "exposure_composite", {"_e0": 0.0, "_e1": 1 / 3, "_e2": 2 / 3, "_e3": 1.0})
-    df = df.join(edges, list(CELL), "left")
+    edges = staged(order.quantiles(df, CELL, "exposure_composite", {"_e0": 0.0, "_e1": 1 / 3, "_e2": 2 / 3, "_e3": 1.0}))
     apart = (F.col("_e0") < F.col("_e1")) & (F.col("_e1") < F.col("_e2")) & (F.col("_e2") < F.col("_e3"))
     by_value = F.when(F.col("exposure_composite") <= F.col("_e1"), "low").when(F.col("exposure_composite") <= F.col("_e2"), "medium").otherwise("high")
+    joined = df.join(edges, list(CELL), "left")
     # equal edges: thirds of the row order by composite and id
-    tied = df.filter(~apart & F.col("exposure_composite").isNotNull()).select(*CELL, id_column, "exposure_composite", F.lit(1).alias("_one"))
-    if not tied.isEmpty():
-        place = order.running(tied, CELL, "exposure_composite", [F.col("exposure_composite"), F.col(id_column)], "_one")
+    if not edges.filter(~apart).isEmpty():
+        tied = joined.filter(~apart & F.col("exposure_composite").isNotNull()).select(*CELL, id_column, "exposure_composite", F.lit(1).alias("_one"))
+        place = order.running(tied, CELL, [F.col("exposure_composite"), F.col(id_column)], "_one")
         third = F.when(F.col("_before") <= (F.col("_total") - 1) / 3, "low").when(F.col("_before") <= 2 * (F.col("_total") - 1) / 3, "medium").otherwise("high")
-        df = df.join(place.select(id_column, third.alias("_third")), id_column, "left")
+        joined = joined.join(place.select(id_column, third.alias("_third")), id_column, "left")
         by_value = F.coalesce("_third", by_value)
-    level = F.when(F.col("exposure_composite").isNotNull(), by_value)
-    return staged(base.join(df.select(id_column, "exposure_composite", level.alias("exposure_level")), id_column, "left"))
+    return joined.select(id_column, "exposure_composite", F.when(F.col("exposure_composite").isNotNull(), by_value).alias("exposure_level"))
 
 
-def add_rural_margin(df: DataFrame, crossing: Column) -> DataFrame:
-    """Rural segments among many people and without a crossing are at least medium, with low confidence."""
-    limits = order.quantiles(df.filter(F.col("land_use") == "RURAL"), ["country"], "pop_density", {"_dense": RURAL_QUANTILE})
-    df = df.join(limits, "country", "left")
-    unsure = truth((F.col("land_use") == "RURAL") & (F.col("pop_density") >= F.col("_dense")) & ~crossing)
+def add_exposure(df: DataFrame, signals: Mapping[str, Sequence[str]] = SIGNALS, id_column: str = "segment_id") -> DataFrame:
+    """`exposure_composite`, `exposure_level` and `exposure_confidence`.
+
+    Rural segments among many people and without a crossing are at least medium, with low confidence.  Only ids and
+    signals are staged and ranked; the rest of the row is joined once, at the end.
+    """
+    names = dict.fromkeys(s for names in signals.values() for s in names)
+    slim = staged(df.select(*CELL, id_column, *names, *[c for c in ("pop_density", "has_crossing") if c not in names]))
+    limits = order.quantiles(slim.filter(F.col("land_use") == "RURAL"), ["country"], "pop_density", {"_dense": RURAL_QUANTILE})
+    found = slim.select("country", "land_use", id_column, "pop_density", "has_crossing").join(exposure_levels(slim, signals, id_column), id_column).join(limits, "country", "left")
+    unsure = truth((F.col("land_use") == "RURAL") & (F.col("pop_density") >= F.col("_dense")) & ~F.col("has_crossing"))
     raised = unsure & (F.coalesce("exposure_level", F.lit("low")) == "low")
-    return df.withColumns({"exposure_confidence": F.when(unsure, "low").otherwise("high"), "exposure_level": F.when(raised, "medium").otherwise(F.col("exposure_level"))}).drop("_dense")
+    level = F.when(raised, "medium").otherwise(F.col("exposure_level"))
+    found = found.select(id_column, "exposure_composite", level.alias("exposure_level"), F.when(unsure, "low").otherwise("high").alias("exposure_confidence"))
+    return df.join(found, id_column, "left")
 
 
 def confidence_level() -> Column:
@@ -194,8 +199,9 @@ def add_score(df: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> D
 
 def add_class(df: DataFrame, tie: str = "exp_delta_fatal_percent_uniform", cells: Sequence[str] = CELL) -> DataFrame:
     """`priority_class` by the share of the cell's length before a segment in the order of scores."""
+    df = staged(df)
     scored = df.filter(valid() & F.col("safety_score").isNotNull()).select(*cells, "segment_id", "length_m", (-F.col("safety_score")).alias("_first"), F.round(tie, 6).alias("_tie"))
-    placed = order.running(scored, cells, "_first", [F.col("_first"), F.desc_nulls_last("_tie"), F.col("segment_id")], "length_m")
+    placed = order.running(scored, cells, [F.col("_first"), F.desc_nulls_last("_tie"), F.col("segment_id")], "length_m")
     share = F.col("_before").cast("double") / F.col("_total").cast("double")
     label = F.lit(LOW_PRIORITY)
     for name, most in sorted(CLASS_SHARES.items(), key=lambda x: -x[1]):
@@ -225,7 +231,7 @@ def scored(segments: DataFrame) -> DataFrame:
     """All steps up to the score, with the stand-ins that the driver's tables need."""
     df = segments.withColumn("road_structure_confidence", F.when(F.col("piece_no") % 5 == 0, "low").otherwise("high"))
     df = add_misalignment(add_plausibility(add_safe_speed(df)))
-    return add_score(add_benefit(add_rural_margin(add_exposure(df), F.col("piece_no") % 2 == 0)))
+    return add_score(add_benefit(add_exposure(df)))
 
 
 def overlap(base: DataFrame, other: DataFrame) -> DataFrame:

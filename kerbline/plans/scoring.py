@@ -55,15 +55,17 @@ inputs AS (SELECT *, CASE WHEN own THEN tomtom_mean_speed ELSE median_speed END
 benefit AS (SELECT * EXCLUDE (own, mean, sigma), CASE WHEN data_quality_flag IS NULL THEN mean END AS exp_mean_speed, CASE WHEN data_quality_flag IS NULL THEN sigma END AS exp_sigma_speed, CASE WHEN data_quality_flag IS NULL THEN CASE WHEN own THEN 'tomtom' ELSE 'adb' END END AS exp_speed_source,
   {', '.join(f"CASE WHEN data_quality_flag IS NULL AND sigma IS NOT NULL THEN (1 - exp({k} * (v_safe - mean))) * 100 END AS exp_delta_{n}_percent_uniform, CASE WHEN data_quality_flag IS NULL AND sigma IS NOT NULL THEN {_capped(k)} END AS exp_delta_{n}_percent_tailcap" for n, k in speeds.COEFFICIENTS.items())}
   FROM inputs)"""
-EXPOSURE = """
-ranked AS (SELECT *, (rank() OVER (PARTITION BY country, land_use ORDER BY pop_density) + (count(*) OVER (PARTITION BY country, land_use, pop_density) - 1) / 2.0) / count(*) OVER (PARTITION BY country, land_use) AS r1,
-  (rank() OVER (PARTITION BY country, land_use ORDER BY sample_size_avg) + (count(*) OVER (PARTITION BY country, land_use, sample_size_avg) - 1) / 2.0) / count(*) OVER (PARTITION BY country, land_use) AS r2,
-  (rank() OVER (PARTITION BY country, land_use ORDER BY piece_no) + (count(*) OVER (PARTITION BY country, land_use, piece_no) - 1) / 2.0) / count(*) OVER (PARTITION BY country, land_use) AS r3 FROM benefit),
-composed AS (SELECT * EXCLUDE (r1, r2, r3), CASE WHEN land_use = 'URBAN' THEN (r1 + r2 + r3) / 3 ELSE (r1 + r2) / 2 END AS exposure_composite FROM ranked),
+_RANKS = ",\n  ".join(
+    f"(rank() OVER (PARTITION BY country, land_use ORDER BY {c}) + (count(*) OVER (PARTITION BY country, land_use, {c}) - 1) / 2.0) / count(*) OVER (PARTITION BY country, land_use) AS r{i}"
+    for i, c in enumerate(("pop_density", "poi_count", "osm_poi_category_count", "is_mapillary_vru", "crossing_count"), 1)
+)
+EXPOSURE = f"""
+ranked AS (SELECT *, {_RANKS} FROM benefit),
+composed AS (SELECT * EXCLUDE (r1, r2, r3, r4, r5), CASE WHEN land_use = 'URBAN' THEN (r1 + r2 + r3 + r4 + r5) / 5 ELSE (r1 + r2 + r3) / 3 END AS exposure_composite FROM ranked),
 tertiles AS (SELECT country, land_use, quantile_cont(exposure_composite, 1/3) AS e1, quantile_cont(exposure_composite, 2/3) AS e2 FROM composed GROUP BY ALL),
 exposed AS (SELECT composed.*, CASE WHEN exposure_composite <= e1 THEN 'low' WHEN exposure_composite <= e2 THEN 'medium' ELSE 'high' END AS first_level FROM composed JOIN tertiles USING (country, land_use)),
 dense AS (SELECT country, quantile_cont(pop_density, 0.75) AS t FROM exposed WHERE land_use = 'RURAL' GROUP BY country),
-unsure AS (SELECT exposed.*, coalesce(land_use = 'RURAL' AND pop_density >= t AND piece_no % 2 <> 0, false) AS u FROM exposed LEFT JOIN dense USING (country)),
+unsure AS (SELECT exposed.*, coalesce(land_use = 'RURAL' AND pop_density >= t AND NOT has_crossing, false) AS u FROM exposed LEFT JOIN dense USING (country)),
 exposure AS (SELECT * EXCLUDE (u, first_level), CASE WHEN u THEN 'low' ELSE 'high' END AS exposure_confidence, CASE WHEN u AND first_level = 'low' THEN 'medium' ELSE first_level END AS exposure_level FROM unsure)"""
 
 
@@ -128,7 +130,7 @@ def q07(spark, d):
 
 @query("q08_exposure_tertile", f"{UP_TO_EXPOSURE} SELECT segment_id, round(exposure_composite, 9) AS exposure_composite, exposure_level, exposure_confidence FROM exposure")
 def q08(spark, d):
-    df = scoring.add_rural_margin(scoring.add_exposure(_segments(spark, d)), F.col("piece_no") % 2 == 0)
+    df = scoring.add_exposure(_segments(spark, d))
     return _rounded(df.select("segment_id", "exposure_composite", "exposure_level", "exposure_confidence"), 9, "exposure_composite")
 
 
@@ -313,7 +315,7 @@ def q40(spark, d):
     df = scoring.add_misalignment(scoring.add_safe_speed(_segments(spark, d))).filter(scoring.valid()).select("segment_id", "misalignment_magnitude", "operating_gap", F.lit(1).alias("_one"))
 
     def top(name: str) -> DataFrame:
-        placed = order.running(df.withColumn("_first", -F.col(name)), [], "_first", [F.col("_first"), F.col("segment_id")], "_one")
+        placed = order.running(df, [], [F.desc(name), F.col("segment_id")], "_one")
         return placed.filter(F.col("_before") < F.floor(F.col("_total") / 10)).select("segment_id")
 
     both = top("misalignment_magnitude").join(top("operating_gap"), "segment_id").agg(F.count(F.lit(1)).alias("n_both"))

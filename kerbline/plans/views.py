@@ -21,6 +21,7 @@ segments AS (SELECT
   priority = '1' OR ok % 11 = 0 AS is_access_controlled, ok % 3 <> 0 AS is_divided, ok % 4 = 1 AS is_grade_separated,
   CASE ok % 4 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN 'unknown' END AS legal_motorcycle,
   pk % 29 = 0 AS has_vru_barrier, pk % 13 = 0 AS has_motorcycle_separation,
+  ((pk % 17) * (sk % 3))::INT AS poi_count, (pk % 6)::INT AS osm_poi_category_count, (pk + sk) % 5 = 0 AS is_mapillary_vru, ((ok + ln) % 4)::INT AS crossing_count, (ok + ln) % 4 > 0 AS has_crossing,
   ((7919 * ok) % 20011 + CASE WHEN ok % 2 = 0 THEN 60 * (ln - 1) ELSE 0 END)::DOUBLE AS x1,
   ((104729 * ok) % 20021 + CASE WHEN ok % 2 = 1 THEN 60 * (ln - 1) ELSE 0 END)::DOUBLE AS y1,
   ((7919 * ok) % 20011 + CASE WHEN ok % 2 = 0 THEN 60 * ln ELSE 0 END)::DOUBLE AS x2,

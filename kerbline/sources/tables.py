@@ -55,6 +55,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE ok % 4 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN 'unknown' END").alias("legal_motorcycle"),
         F.expr("pk % 29 = 0").alias("has_vru_barrier"),
         F.expr("pk % 13 = 0").alias("has_motorcycle_separation"),
+        F.expr("CAST((pk % 17) * (sk % 3) AS INT)").alias("poi_count"),
+        F.expr("CAST(pk % 6 AS INT)").alias("osm_poi_category_count"),
+        F.expr("(pk + sk) % 5 = 0").alias("is_mapillary_vru"),
+        F.expr("CAST((ok + ln) % 4 AS INT)").alias("crossing_count"),
+        F.expr("(ok + ln) % 4 > 0").alias("has_crossing"),
         F.expr("(7919 * ok) % 20011 + CASE WHEN ok % 2 = 0 THEN 60 * (ln - 1) ELSE 0 END").cast("double").alias("x1"),
         F.expr("(104729 * ok) % 20021 + CASE WHEN ok % 2 = 1 THEN 60 * (ln - 1) ELSE 0 END").cast("double").alias("y1"),
         F.expr("(7919 * ok) % 20011 + CASE WHEN ok % 2 = 0 THEN 60 * ln ELSE 0 END").cast("double").alias("x2"),

@@ -72,7 +72,7 @@ def test_greedy_leaders(spark):
     pts = [(1, 0.0, 0.0, 3), (2, 0.8, 0.0, 1), (3, 1.6, 0.0, 2), (4, 9.0, 0.0, 4)]
     df = spark.createDataFrame([(i, x, y, t0 + timedelta(seconds=s)) for i, x, y, s in pts], "id long, px double, py double, first_seen timestamp")
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
-    assert {r["id"]: r["leader"] for r in iterate.greedy_leaders(df, pairs, 1.0).collect()} == {1: 2, 2: 2, 3: 2, 4: 4}
+    assert {r["id"]: r["leader"] for r in iterate.greedy_leaders(df, pairs).collect()} == {1: 2, 2: 2, 3: 2, 4: 4}
 
 
 def _frechet_twin(a, b):

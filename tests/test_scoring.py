@@ -51,17 +51,25 @@ def test_order_statistics_match_pandas(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"id": range(3000), "cell": rng.choice(["a", "b", None], 3000), "v": np.where(rng.random(3000) < 0.1, np.nan, rng.integers(0, 60, 3000))})
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "id int, cell string, v double")
-    ranks = {r["id"]: r["_rank_v"] for r in order.percent_ranks(df, ["cell"], ["v"], "id").collect()}
+    ranks = {r["id"]: r["_rank_v"] for r in order.percent_ranks(df, ["cell"], ["v"]).collect()}
     want = pdf.groupby("cell")["v"].rank(pct=True, method="average")
     for i, x in want.items():
         assert (ranks.get(i) is None) == bool(np.isnan(x)) and (np.isnan(x) or math.isclose(ranks[i], x, rel_tol=1e-12))
     for r in order.quantiles(df, ["cell"], "v", {"q": 1 / 3, "top": 1.0}).collect():
         of = pdf[pdf["cell"] == r["cell"]]["v"]
         assert math.isclose(r["q"], of.quantile(1 / 3), rel_tol=1e-12) and r["top"] == of.max()
-    sums = order.running(df.filter("cell IS NOT NULL AND v IS NOT NULL").withColumn("one", F.lit(1)), ["cell"], "v", [F.col("v"), F.col("id")], "one")
     ranked = pdf.dropna().sort_values(["v", "id"])
     ranked["n"] = ranked.groupby("cell").cumcount()
-    assert {r["id"]: r["_before"] for r in sums.collect()} == dict(zip(ranked["id"], ranked["n"], strict=True))
+    for rows in (100, 100_000):  # many ranges, and one
+        sums = order.running(df.filter("cell IS NOT NULL AND v IS NOT NULL").withColumn("one", F.lit(1)), ["cell"], [F.col("v"), F.col("id")], "one", rows)
+        assert {r["id"]: r["_before"] for r in sums.collect()} == dict(zip(ranked["id"], ranked["n"], strict=True))
+
+
+def test_a_frequent_value_is_spread_over_ranges(spark):
+    df = spark.range(4000).select(F.lit("a").alias("cell"), F.lit(1.0).alias("v"), "id", F.lit(1).alias("one"))
+    sums = order.running(df, ["cell"], [F.col("v"), F.col("id")], "one", 200)
+    plan = sums.withColumn("at", F.spark_partition_id()).agg(F.sum((F.col("_before") == F.col("id")).cast("int")).alias("n")).first()
+    assert plan["n"] == 4000
 
 
 def _twin_class(rows):
@@ -93,8 +101,8 @@ def test_missing_values_stay_missing(spark):
 
 
 def test_tied_composites_fall_back_to_row_order(spark):
-    rows = [("a", "RURAL", f"s{i}", 1.0, 2.0) for i in range(9)]
-    df = spark.createDataFrame(rows, "country string, land_use string, segment_id string, pop_density double, sample_size_avg double").withColumn("piece_no", F.lit(1))
+    rows = [("a", "RURAL", f"s{i}", 1.0, 2, 0, False, 0, True) for i in range(9)]
+    df = spark.createDataFrame(rows, "country string, land_use string, segment_id string, pop_density double, poi_count int, osm_poi_category_count int, is_mapillary_vru boolean, crossing_count int, has_crossing boolean")
     levels = {r["segment_id"]: r["exposure_level"] for r in scoring.add_exposure(df).collect()}
     assert [levels[f"s{i}"] for i in range(9)] == ["low"] * 3 + ["medium"] * 3 + ["high"] * 3
 
