@@ -13,7 +13,20 @@ from pyspark.sql import functions as F
 URBAN_MARKETS = ("AUTOMOBILE", "HOUSEHOLD", "FURNITURE")
 
 
+#: HotSpot never compiles a method of more bytecode, so Spark must not fuse more into one.
+LARGEST_METHOD = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session, with generated code held to what the JVM compiles; a limit that is already set stays."""
+    name, value = LARGEST_METHOD
+    if spark.conf.get(name, "65535") == "65535":
+        spark.conf.set(name, value)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark = tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
