@@ -11,8 +11,10 @@ can have no partner and leaves at once.
 Equal sets become one class before anything else.  Lists are merged without writing out the pairs of a list:
 1. every class meets the least one of each of its lists; the one it collides with most often is verified;
 2. a class outside the largest component of its lists meets members drawn from three of them;
-3. what is still apart is compared in full: in a list without a component of two, all pairs; around a component, each
-   class outside it with all that share its lists.  So no link between two components is lost.
+3. what is still apart is compared in full, neighbourhood by neighbourhood: a list without a component of two is one,
+   and so is a component with all that share its lists; there every class outside the component meets every other.  So
+   no link between two components is lost.  Small neighbourhoods are written out as pairs; large ones are dealt out to
+   blocks, block meets block in a task of its own, and only links are written.  Both ways ask the same of a pair.
 Pairs go on to the full sets if their signatures have `MATCH` equal coordinates, and only texts of such pairs are read
 again.
 Verified means: 100 * intersection >= percent * union on the full sets of hashes.
@@ -34,15 +36,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.iterate import components
 from .shared import cut, release_memory
 from .shingles import hash_family, set_name, shingle_set, signature
 
 COORDINATES = 48
 MATCH = 26
-#: Up to so many classes around a component are compared in pairs of signatures; more, by full sets in blocks.
-LARGE = 64
-BLOCK = 1500
+#: Neighbourhoods of up to so many classes are written out as pairs, larger ones compared in blocks; the links are the same.
+PAIRED = 64
+#: Classes of a block.
+BLOCK = 600
 PREFIX = COORDINATES - MATCH + 1
 SEED = 41
 
@@ -160,85 +163,90 @@ def second_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return draws.select("a", F.explode("_draws").alias("_d")).select("a", F.col("_d.b").alias("b")).distinct()
 
 
-def third_pairs(entries: DataFrame, around: DataFrame, able: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share a list, but for those around large components, with enough equal coordinates."""
-    small = entries.filter("main_n = 1").select("list", "key", "n", "home")
-    one = small.select("list", F.col("key").alias("a"), F.col("n").alias("_na"), F.col("home").alias("_ha"))
-    two = small.select("list", F.col("key").alias("b"), F.col("n").alias("_nb"), F.col("home").alias("_hb"))
-    alone = one.join(two, "list").filter((F.col("a") < F.col("b")) & (F.col("_ha") | F.col("_hb")) & _fits(percent)).select("a", "b").distinct()
-    near = around.filter(F.col("_size") <= LARGE)
-    outside = near.filter("label <> main").select("main", F.col("key").alias("a"), F.col("label").alias("_la"), F.col("n").alias("_na"))
-    every = near.select("main", F.col("key").alias("b"), F.col("label").alias("_lb"), F.col("n").alias("_nb"))
-    inside = F.col("_lb") == F.col("main")
-    met = outside.join(every, "main").filter((F.col("_la") != F.col("_lb")) & (inside | (F.col("a") < F.col("b"))) & _fits(percent)).select("a", "b")
-    return plausible(met.unionByName(alone).distinct(), able)
+def neighbourhoods(entries: DataFrame) -> DataFrame:
+    """Classes that still have to meet: place, key, n, label, home, outside, _size (of the place), _outside (how many).
+
+    A place is a list without a component of two, in which all are outside; or a component with all that share a list
+    with it.  Two classes meet if they have different labels, one of them is outside, and one is at home.
+    """
+    clustered = F.col("main_n") > 1
+    place = F.when(clustered, F.xxhash64(F.lit(1), F.col("main"))).otherwise(F.xxhash64(F.lit(0), F.col("list")))
+    held = entries.select(place.alias("place"), "key", "n", "label", (clustered | F.col("home")).alias("home"), (~clustered | (F.col("label") != F.col("main"))).alias("outside"))
+    held = cut(held.distinct(), "neighbourhoods")
+    sizes = held.groupBy("place").agg(F.count(F.lit(1)).alias("_size"), F.count_if("outside").alias("_outside"))
+    return cut(held.join(sizes.filter("_outside > 0"), "place"), "neighbourhoods")
 
 
-def surroundings(entries: DataFrame) -> DataFrame:
-    """Classes that share a list with a component of two or more there: main, key, n, label, _size (how many)."""
-    held = cut(entries.filter("main_n > 1").select("main", "key", "n", "label").distinct(), "surroundings")
-    sizes = held.groupBy("main").agg(F.count(F.lit(1)).alias("_size"))
-    return held.join(sizes, "main")
+def third_pairs(around: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """The pairs that meet in small neighbourhoods and have enough equal coordinates."""
+    near = around.filter(F.col("_size") <= PAIRED)
+    one = near.filter("outside").select("place", F.col("key").alias("a"), F.col("label").alias("_la"), F.col("n").alias("_na"), F.col("home").alias("_ha"))
+    two = near.select("place", F.col("key").alias("b"), F.col("label").alias("_lb"), F.col("n").alias("_nb"), F.col("home").alias("_hb"), F.col("outside").alias("_ob"))
+    once = ~F.col("_ob") | (F.col("a") < F.col("b"))
+    met = one.join(two, "place").filter((F.col("_la") != F.col("_lb")) & once & (F.col("_ha") | F.col("_hb")) & _fits(percent))
+    return plausible(met.select("a", "b").distinct(), able)
 
 
 def _common(percent: int):
-    """Links between the classes outside a component and all in a block, from their full sets.
+    """Links between two blocks of a neighbourhood, from their full sets.
 
-    Rows come sorted by block, with the block's own classes before those from outside.
+    Rows come sorted by meeting, with one block's classes before those of the other, which are all outside.  Links that
+    the others already imply are left out: each one given joins two components that were apart.
     """
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        own, outside = group[~group["outside"]], group[group["outside"]]
+        own, outside = group[~group["asks"]], group[group["asks"]]
         if not len(own) or not len(outside):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sizes = own["shingles"].map(len).to_numpy()
         flat = np.concatenate(own["shingles"].to_list())
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], np.repeat(np.arange(len(own)), sizes)[order]
-        keys, labels = own["key"].to_numpy(), own["label"].to_numpy()
+        signatures, keys, at_home = np.stack(own["signature"].to_list()), own["key"].to_numpy(), own["home"].to_numpy(bool)
+        labels, parts = np.unique(np.concatenate([own["label"].to_numpy(), outside["label"].to_numpy()]), return_inverse=True)
+        group_of = np.arange(len(labels))
+        mine_at, their_at = parts[: len(own)], parts[len(own) :]
         a, b = [], []
-        for key, label, mine in zip(outside["key"], outside["label"], outside["shingles"], strict=True):
+        for key, part, home, mine, signed in zip(outside["key"], their_at, outside["home"], outside["shingles"], outside["signature"], strict=True):
             low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
             runs = high - low
             at = np.arange(int(runs.sum())) + np.repeat(low - (np.cumsum(runs) - runs), runs)
             both = np.bincount(owner[at], minlength=len(own))
-            hit = np.flatnonzero((100 * both >= percent * (len(mine) + sizes - both)) & (labels != label))
-            hit = hit[np.unique(labels[hit], return_index=True)[1]]  # one link to each other component says as much as all
-            a += [key] * len(hit)
-            b += keys[hit].tolist()
+            hit = np.flatnonzero((100 * both >= percent * (len(mine) + sizes - both)) & (home | at_home) & (group_of[mine_at] != group_of[part]))
+            hit = hit[(signatures[hit] == signed).sum(axis=1) >= MATCH]
+            for group, i in zip(*np.unique(group_of[mine_at[hit]], return_index=True), strict=True):
+                a.append(key)
+                b.append(int(keys[hit[i]]))
+                group_of[group_of == group] = group_of[part]
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for batch in batches:
-            for block, part in batch.groupby("block", sort=False):
-                if held and held[0]["block"].iloc[0] != block:
+            for meeting, part in batch.groupby("meeting", sort=False):
+                if held and held[0]["meeting"].iloc[0] != meeting:
                     yield links(pd.concat(held))
                     held = []
                 held.append(part)
         if held:
             yield links(pd.concat(held))
+        release_memory()
 
     return run
 
 
-def links_around(around: DataFrame, texts: DataFrame, *, width: int, percent: int) -> DataFrame:
-    """Links between large components and the classes that share lists with them, without writing out pairs.
-
-    A component's surroundings are dealt out to blocks of about `BLOCK` classes, and the classes outside the component
-    to as many chunks; each chunk meets each block.
-    """
-    large = cut(around.filter(F.col("_size") > LARGE), "large")
-    ends = large.select("key").distinct()
-    sets = texts.join(ends, "key", "left_semi").mapInPandas(_sets(width), "key long, shingles array<long>")
-    outside = F.col("label") != F.col("main")
-    outsiders = large.filter(outside).groupBy("main").agg(F.count(F.lit(1)).alias("_outside"))
-    blocks, chunks = F.ceil(F.col("_size") / BLOCK).cast("int"), F.ceil(F.col("_outside") / BLOCK).cast("int")
-    dealt = large.join(outsiders, "main").join(cut(sets, "sets"), "key").withColumns({"_blocks": blocks, "_chunks": chunks})
-    own = dealt.select("main", "key", "label", "shingles", F.lit(False).alias("outside"), F.pmod(F.xxhash64("key"), "_blocks").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_c"))
-    far = dealt.filter(outside).select("main", "key", "label", "shingles", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), F.pmod(F.xxhash64("key"), "_chunks").alias("_c"))
-    columns = [F.xxhash64("main", F.col("_b").cast("long"), F.col("_c").cast("long")).alias("block"), "outside", "key", "label", "shingles"]
-    rows = own.select(*columns).unionByName(far.select(*columns)).repartition("block").sortWithinPartitions("block", "outside")
+def links_around(around: DataFrame, able: DataFrame, texts: DataFrame, *, width: int, percent: int) -> DataFrame:
+    """Links in large neighbourhoods, without writing out pairs: their classes are dealt out to blocks, those outside to
+    blocks of their own, and each block of the latter meets each of the former in a task of its own."""
+    large = around.filter(F.col("_size") > PAIRED)
+    sets = texts.join(large.select("key").distinct(), "key", "left_semi").mapInPandas(_sets(width), "key long, shingles array<long>")
+    blocks, askers = F.ceil(F.col("_size") / BLOCK).cast("int"), F.ceil(F.col("_outside") / BLOCK).cast("int")
+    dealt = large.join(cut(sets, "sets"), "key").join(able.select("key", "signature"), "key").withColumns({"_blocks": blocks, "_askers": askers})
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = dealt.select("*", F.lit(False).alias("asks"), F.pmod(F.xxhash64("key"), "_blocks").alias("_b"), all_of("_askers").alias("_c"))
+    asking = dealt.filter("outside").select("*", F.lit(True).alias("asks"), all_of("_blocks").alias("_b"), F.pmod(F.xxhash64(F.lit(1), "key"), "_askers").alias("_c"))
+    columns = [F.xxhash64("place", F.col("_b").cast("long"), F.col("_c").cast("long")).alias("meeting"), "asks", "key", "label", "home", "signature", "shingles"]
+    rows = own.select(*columns).unionByName(asking.select(*columns)).repartition("meeting").sortWithinPartitions("meeting", "asks")
     return rows.mapInPandas(_common(percent), "a long, b long").distinct()
 
 
@@ -260,10 +268,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links = links_of(plausible(first_pairs(posted, percent), able))
     more = links_of(plausible(second_pairs(split_lists(posted, components(links)), percent), able))
     links = links.unionByName(more)
-    entries = split_lists(posted, components(links))
-    around = cut(surroundings(entries), "around")
-    more = links_of(third_pairs(entries, around, able, percent))
-    whole = cut(links_around(around, texts, width=width, percent=percent), "links")
+    around = neighbourhoods(split_lists(posted, components(links)))
+    more = links_of(third_pairs(around, able, percent))
+    whole = cut(links_around(around, able, texts, width=width, percent=percent), "links")
     labels = components(links.unionByName(more).unionByName(whole))
     named = classes.select("name", F.col("key").alias("node")).join(labels, "node", "left").select("name", F.coalesce("label", "node").alias("_component"))
     joined = facts.select("key", "n", "name").join(named, "name", "left")

@@ -1,54 +1,26 @@
-"""What the operators share: the shared work folder, tables written there, and small column helpers."""
+"""What the operators share: tables in the shared work folder, and small column helpers."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import remove_table, staged, written
 
-def work_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="kerbline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["cut", "free_name", "null_key", "release_memory", "remove_table", "salted_hash", "written"]
 
+cut = staged
 
-def remove_table(spark: SparkSession, path: str) -> None:
-    """Deletes a written table through Hadoop's file system, whichever store it is in."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        remove_table(spark, path)
-    except Exception:  # the session may have ended before the interpreter does
-        return
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows of df from a Parquet table in the shared folder, and its path.
-
-    This cuts the lineage: a lost executor costs no recomputation of what was written.  The table goes when the
-    interpreter ends, or earlier through remove_table().
-    """
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/kerbline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove_quietly, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    return written(df, name)[0]
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def release_memory() -> None:

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.llm import ann, chat, components, decontam, html_text, langid, mixing, neardup, repair, secret_scan, sharding, shingles, token_store
+from kerbline.llm import ann, chat, decontam, html_text, langid, mixing, neardup, repair, secret_scan, sharding, shingles, token_store
+from kerbline.operators.iterate import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -402,7 +403,7 @@ def _brute_components(texts, width, percent):
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates_match_brute_force(spark, width, monkeypatch):
     rng = np.random.default_rng(8)
-    monkeypatch.setattr(neardup, "LARGE", 12)
+    monkeypatch.setattr(neardup, "PAIRED", 12)
     monkeypatch.setattr(neardup, "BLOCK", 10)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = [None, "", "  \n", "one", "ONE", "one two", "Two one", "a b c d e", "A\tb\nc d E"]
@@ -437,6 +438,25 @@ def test_hot_passages_around_a_band_edge(spark, monkeypatch):
     assert by_id(neardup.near_duplicates(docs, width=1), "component_id")[1] == 0
 
 
+@pytest.mark.parametrize("paired", [1, 1 << 30])
+def test_hot_templates_and_bands(spark, paired, monkeypatch):
+    """Pairs over a band edge whose passages are hot in other bands; a template that many unlike texts hold; blocks and pairs alike."""
+    monkeypatch.setattr(neardup, "PAIRED", paired)
+    monkeypatch.setattr(neardup, "BLOCK", 25)
+    unlike = itertools.count()
+    own = lambda n: [f"u{next(unlike)}" for _ in range(n)]
+    texts = []
+    for _ in range(3):
+        one, two = own(50), own(50)
+        texts += [one + two + own(1), one + two + own(21)]  # 100 of 122 words in common, sizes 101 and 121
+        texts += [one + own(20) for _ in range(30)] + [two + own(110) for _ in range(30)]
+    template = own(75)
+    texts += [template + own(25) for _ in range(60)]
+    texts += [[*texts[-1][:-2], *own(2)], [*texts[-2][:-3], *own(1)]]
+    texts = [" ".join(t) for t in texts]
+    assert by_id(neardup.near_duplicates(docs_of(spark, texts), width=1), "n_shingles", "component_id") == _brute_components(texts, 1, 80)
+
+
 def test_near_duplicate_edge_cases(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     docs = docs_of(spark, ["same words here", "same words here"])
@@ -447,7 +467,7 @@ def test_near_duplicate_edge_cases(spark):
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (20, 20)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(300, 340)]
-    out = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    out = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 1 for i in range(1, 6)}, 7: 7, 8: 7, 9: 7, **{i: 100 for i in range(100, 140)}, **{i: 300 for i in range(300, 341)}}
 
 
