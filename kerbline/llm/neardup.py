@@ -238,7 +238,7 @@ def _common(percent: int):
 def links_around(around: DataFrame, able: DataFrame, texts: DataFrame, *, width: int, percent: int) -> DataFrame:
     """Links in large neighbourhoods, without writing out pairs: their classes are dealt out to blocks, those outside to
     blocks of their own, and each block of the latter meets each of the former in a task of its own."""
-    large = around.filter(F.col("_size") > PAIRED)
+    large = cut(around.filter(F.col("_size") > PAIRED), "large")  # its own size decides how texts are joined
     sets = texts.join(large.select("key").distinct(), "key", "left_semi").mapInPandas(_sets(width), "key long, shingles array<long>")
     blocks, askers = F.ceil(F.col("_size") / BLOCK).cast("int"), F.ceil(F.col("_outside") / BLOCK).cast("int")
     dealt = large.join(cut(sets, "sets"), "key").join(able.select("key", "signature"), "key").withColumns({"_blocks": blocks, "_askers": askers})
