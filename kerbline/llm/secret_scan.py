@@ -10,6 +10,9 @@ Distinct blobs are found by a grouping that keeps one text per blob and task bef
 of all rows share crosses the network once per task.  The findings of a blob are a short array; the join back to paths
 is an ordinary equi-join whose hot keys Spark splits.
 
+A finding names the rule and version that made it, and a reader asks for the versions it wants: findings of a replaced
+version stay in the ledger and out of the result, and the order of rules is the reader's own.
+
 Defined results: a null text counts as empty; each input row gets one result row, also repeated ones; an empty table
 gives an empty result; other columns of the input are left out.
 """
@@ -57,29 +60,28 @@ FURTHER_RULES = (
 RULES = BASE_RULES + FURTHER_RULES
 
 FINDINGS = "array<struct<start:int,rank:int,end:int,kind:string>>"
-LEDGER = f"blob_id string, rules array<string>, findings {FINDINGS}"
+LEDGER = "blob_id string, rules array<string>, findings array<struct<start:int,end:int,rule:string>>"
 
 
-def found(text: str, rules: Sequence[Rule], ranks: dict[str, int]) -> list[tuple[int, int, int, str]]:
-    """All matches of the rules in a text as (start, rank of the rule, end, kind), in that order."""
+def found(text: str, rules: Sequence[Rule]) -> list[tuple[int, int, str]]:
+    """All matches of the rules in a text as (start, end, name of the rule)."""
     spans = []
     for rule in rules:
         # A long run of a hexadecimal digit can only be found whole, so asking for its least length at once is the same.
         pattern = rule.pattern[:-1] + f"{{{rule.least},}}" if rule.kind == "hex" and rule.pattern.endswith("+") else rule.pattern
         for match in re.compile(pattern, rule.flags).finditer(text):
             if match.end(rule.group) - match.start(rule.group) >= rule.least:
-                spans.append((match.start(), ranks[rule.kind], match.end(), rule.kind))
+                spans.append((match.start(), match.end(), rule.name))
     return sorted(spans)
 
 
 def _scan_batches(rules: Sequence[Rule]):
     by_name = {rule.name: rule for rule in rules}
-    ranks = {rule.kind: i for i, rule in enumerate(rules)}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             spans = [
-                [dict(zip(("start", "rank", "end", "kind"), s, strict=True)) for s in found(text, [by_name[n] for n in names], ranks)]
+                [dict(zip(("start", "end", "rule"), s, strict=True)) for s in found(text, [by_name[n] for n in names])]
                 for text, names in zip(batch["text"], batch["rules"], strict=True)
             ]
             yield pd.DataFrame({"blob_id": batch["blob_id"], "rules": batch["rules"], "findings": spans})
@@ -125,10 +127,16 @@ def scan(versions: DataFrame, *, paths: Sequence[str], text: str = "text", rules
 
 
 def findings_of(versions: DataFrame, ledger: DataFrame, *, paths: Sequence[str], text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """What the ledger holds for each version under the given rules, in order of start and rule."""
-    wanted = F.array(*[F.lit(r.kind) for r in rules])
+    """What the given rules, in their given versions, found in each version: struct(start, rank, end, kind), in that order.
+
+    rank is the rule's place among the given ones.
+    """
+    names, kinds = F.array(*[F.lit(r.name) for r in rules]), F.array(*[F.lit(r.kind) for r in rules])
+    rank = lambda x: (F.array_position(names, x["rule"]) - 1).cast("int")
+    placed = lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), F.get(kinds, rank(x)).alias("kind"))
     kept = ledger.filter(F.size("findings") > 0).groupBy("blob_id").agg(F.flatten(F.collect_list("findings")).alias("findings"))
-    kept = kept.withColumn("findings", F.array_sort(F.array_distinct(F.filter("findings", lambda x: F.array_contains(wanted, x["kind"])))))
+    wanted = F.filter("findings", lambda x: F.array_contains(names, x["rule"]))
+    kept = kept.withColumn("findings", F.array_sort(F.array_distinct(F.transform(wanted, placed))))
     addressed = versions.select(*paths, content_address(versions, text).alias("blob_id"))
     none = F.array().cast(FINDINGS)
     return addressed.join(kept, "blob_id", "left").select(*paths, "blob_id", F.coalesce("findings", none).alias("findings"))
