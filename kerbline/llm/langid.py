@@ -8,12 +8,12 @@ folded into one from byte pairs, so a filter of width four costs two look-ups.
 A text is cut into windows from start to end, all of them are read, and the probabilities are averaged with the windows'
 bytes as weights.
 
-Training takes at most `PER_LANGUAGE` texts of each language (and `MOST_TEXTS` in all), those with the least hash of
-their id, and one piece of at most `PIECE` characters of each at a hashed place; rows held out by the caller are left
+Training takes at most `PER_LANGUAGE` texts of each language (fewer of each where that would be over `MOST_TEXTS` in
+all, but at least one of every language), those with the least hash of their id, and one piece of at most `PIECE` characters of each at a hashed place; rows held out by the caller are left
 out.  Everything else reads all texts.
 
 Defined results: null, and texts without a letter, are `und` with score 0; so is everything if nothing can be learned;
-each input row gives one result row.
+each input row gives one result row.  Input columns named like the added ones are replaced, any other name is free.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release_memory
+from .shared import free_name, release_memory
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -164,14 +164,14 @@ class Predictor:
 def sample(docs: DataFrame, *, key: str, text: str, label: str, seed: int = 3) -> pd.DataFrame:
     """Pieces of texts to learn from, in the driver: `piece` and `label`, bounded as described above."""
     known = docs.filter(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(MOST_TEXTS // 20).collect()}
+    counts = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return pd.DataFrame({"piece": [], "label": []})
-    each = min(PER_LANGUAGE, MOST_TEXTS // len(counts))
+    each = max(1, min(PER_LANGUAGE, MOST_TEXTS // len(counts)))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.octet_length(text)), F.lit(1 << 40))
     share = F.lit(0)
     for name, n in counts.items():
-        share = F.when(F.col(label) == name, F.lit(int(min(1.0, 1.5 * each / n) * (1 << 40)))).otherwise(share)
+        share = F.when(F.col(label) == name, F.lit(int(min(1.0, (1.5 * each + 8) / n) * (1 << 40)))).otherwise(share)
     place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.greatest(F.lit(1), F.length(text) - PIECE + 1)).cast("int") + 1
     picked = known.filter(draw <= share).select(draw.alias("draw"), F.substring(F.col(text), place, F.lit(PIECE)).alias("piece"), F.col(label).alias("label"))
     rows = picked.toPandas().sort_values(["label", "draw", "piece"], kind="stable")
@@ -201,8 +201,8 @@ def _predict(model: Model | None):
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
     """docs with `lang_pred` and `score`; columns of these names are replaced."""
     docs = docs.drop("lang_pred", "score")
-    said = docs.withColumn("_said", _predict(model)(F.col(text)))
-    return said.select(*docs.columns, F.col("_said.lang_pred").alias("lang_pred"), F.col("_said.score").alias("score"))
+    said = free_name(docs, "_said")
+    return docs.withColumn(said, _predict(model)(F.col(text))).select(*docs.columns, f"{said}.lang_pred", f"{said}.score")
 
 
 def held_out(key: Column) -> Column:

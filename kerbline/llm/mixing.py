@@ -11,8 +11,8 @@ table stays short at any rate and nothing is capped.
 
 Defined results: a null source is a source of its own; a source that the weights do not name has `other_weight`; a
 null id hashes as an empty one; repeated rows of one id draw the same number; an empty table stays empty; columns
-of the input named like the added ones (`rate`, `copies`, `copy`, `shuffle_key`) are replaced.  Negative weights are
-an error.
+of the input named like the added ones (`rate`, `copies`, `copy`, `shuffle_key`) are replaced, any other name is free.
+Negative weights are an error.
 """
 
 from __future__ import annotations
@@ -79,6 +79,11 @@ def uniform(seed: int, *columns: Column) -> Column:
     return (salted_hash(seed, *columns).cast("double") + 0.5) / F.lit(DRAWS)
 
 
+def order_key(key: Column, copy: Column, seed: int = 29) -> Column:
+    """What the mixture is ordered by: a hash of id and copy number."""
+    return salted_hash(seed + 1, key, copy)
+
+
 def replicate(docs: DataFrame, rates: DataFrame, *, seed: int = 29, source: str = "source", key: str = "doc_id") -> DataFrame:
     """docs with `rate`, `copies`, `copy` (from 0) and `shuffle_key`, one row per copy, not yet in order."""
     docs = docs.drop("rate", "copies", "copy", "shuffle_key")
@@ -87,17 +92,17 @@ def replicate(docs: DataFrame, rates: DataFrame, *, seed: int = 29, source: str
     tables = cut(tables, "tables")
     if tables.count() <= BROADCAST_SOURCES:
         tables = F.broadcast(tables)
-    whole = inverted(F.col("_table"), uniform(seed, F.col(key)))
-    pieces = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, i: n + inverted(F.col("_table"), uniform(seed, F.col(key), i)))
+    whole = inverted(F.col("_table"), uniform(seed, F.col("_key")))
+    pieces = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, i: n + inverted(F.col("_table"), uniform(seed, F.col("_key"), i)))
+    # the input's columns travel as one, so their names cannot clash
     drawn = (
-        docs.withColumn("_source", null_key(F.col(source)))
+        docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), null_key(F.col(source)).alias("_source"))
         .join(tables, "_source")
-        .withColumn("copies", F.when(F.col("_parts") == 1, whole).otherwise(pieces).cast("int"))
+        .select("_row", "_key", "rate", F.when(F.col("_parts") == 1, whole).otherwise(pieces).cast("int").alias("copies"))
         .filter("copies > 0")
-        .drop("_source", "_parts", "_table")
     )
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return copies.withColumn("shuffle_key", salted_hash(seed + 1, F.col(key), F.col("copy")))
+    return copies.select("_row.*", "rate", "copies", "copy", order_key(F.col("_key"), F.col("copy"), seed).alias("shuffle_key"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, seed: int = 29, source: str = "source", key: str = "doc_id", **options) -> DataFrame:

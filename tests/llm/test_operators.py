@@ -54,6 +54,9 @@ def test_mixing_edge_cases(spark):
         mixing.mix(docs_of(spark, ["a"]), {"s0": -1.0})
     assert mixing.mix(docs_of(spark, ["a"]), {"s0": 0.0}).count() == 0
     twice = docs_of(spark, ["a", "b"]).union(docs_of(spark, ["a", "b"])).withColumn("copies", F.lit("mine"))
+    odd = docs_of(spark, ["a", "b"]).withColumns({c: F.lit(c) for c in ("_parts", "_table", "_source", "_row", "_key")})
+    out = mixing.mix(odd, epochs=8.0)
+    assert out.columns == [*odd.columns, "rate", "copies", "copy", "shuffle_key"] and {r["_source"] for r in out.collect()} == {"_source"}
     counts = Counter((r["doc_id"], r["copy"]) for r in mixing.mix(twice, epochs=5.0).collect())
     assert set(counts.values()) <= {2}
     by_bytes = mixing.source_rates(docs_of(spark, ["aaaa", None, "é"]), None, unit="bytes").collect()
@@ -98,6 +101,18 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert by_id(again.withColumn("s", secret_scan.as_text(F.col("findings"))), "s") == by_id(fresh.withColumn("s", secret_scan.as_text(F.col("findings"))), "s")
 
 
+def test_rule_versions_replace_each_other(spark, tmp_path):
+    ledger, docs = f"file://{tmp_path}/ledger", docs_of(spark, ["AB123 AB1234567 x9", "x1"])
+    said = lambda *rules: by_id(secret_scan.scan(docs, paths=["doc_id"], rules=rules, ledger_path=ledger), "findings")
+    spans = lambda found: [(x["kind"], x["start"], x["rank"]) for x in found]
+    one, two, other = secret_scan.Rule("k", 1, "AB[0-9]+"), secret_scan.Rule("k", 2, "AB[0-9]{6,}"), secret_scan.Rule("x", 1, "x[0-9]")
+    assert spans(said(one)[0]) == [("k", 0, 0), ("k", 6, 0)]
+    assert spans(said(two, other)[0]) == [("k", 6, 0), ("x", 16, 1)]
+    # another order of rules, nothing left to scan
+    assert secret_scan.unseen(docs, spark.read.parquet(ledger), (other, two)).count() == 0
+    assert spans(said(other, two)[0]) == [("k", 6, 1), ("x", 16, 0)] and spans(said(one)[0]) == [("k", 0, 0), ("k", 6, 0)]
+
+
 def test_secret_edge_cases(spark):
     assert secret_scan.scan(spark.createDataFrame([], DOCS), paths=["doc_id"]).count() == 0
     twice = docs_of(spark, SECRETS[:2]).union(docs_of(spark, SECRETS[:2])).withColumn("findings", F.lit(1)).withColumn("blob_id", F.lit("x"))
@@ -482,15 +497,16 @@ def test_signature_in_chunks(monkeypatch):
 # 10 --------------------------------------------------------------------------------------------------------------------
 
 
-def _brute_order(rows, seed=17):
+def _brute_order(docs, seed=17):
     groups = defaultdict(list)
-    for i, source in rows:
-        h = int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:15], 16)
-        groups[source].append((h, i))
+    for r in docs.select("doc_id", "source", sharding.draw(docs, seed, "doc_id").alias("h")).collect():
+        groups[r["source"]].append((r["h"], r["doc_id"]))
     placed = []
     for source, members in groups.items():
-        for rank, (h, i) in enumerate(sorted(members)):
-            placed.append(((rank + 0.5) / len(members), h, "" if source is None else f"={source}", i))
+        name = "" if source is None else f"={source}"
+        offset = int(hashlib.md5(f"{seed + 1}:{name}".encode()).hexdigest()[:15], 16) / (1 << 60)
+        for rank, (h, i) in enumerate(sorted(members), 1):
+            placed.append(((rank - offset) / len(members), h, name, i))
     return [i for *_, i in sorted(placed)]
 
 
@@ -499,7 +515,7 @@ def test_interleaving_matches_brute_force(spark, per_range):
     rows = [(i, None if i % 7 == 0 else "hot" if i % 3 else f"s{i % 5}") for i in range(500)]
     docs = spark.createDataFrame([(i, None, None, s, 0) for i, s in rows], DOCS).withColumn("shard", F.lit("x"))
     out = sharding.interleave(docs, shards=7, rows_per_range=per_range).orderBy("shard", "slot").collect()
-    assert [r["doc_id"] for r in out] == _brute_order(rows)
+    assert [r["doc_id"] for r in out] == _brute_order(docs.drop("shard"))
     sizes = Counter(r["shard"] for r in out)
     assert max(sizes.values()) - min(sizes.values()) <= 1
     assert all([r["slot"] for r in out if r["shard"] == s] == list(range(n)) for s, n in sizes.items())
@@ -515,3 +531,18 @@ def test_sharding_edge_cases(spark):
     out = sharding.interleave(few.select("doc_id", "source", *(c.alias(n) for n, c in sharding.row_facts(few).items())), shards=24)
     assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in out.collect()) == [(0, 10, zlib.crc32("é".encode()))] * 2 + [(1, 8, 0)] * 2
     assert len({r["shard"] for r in out.collect()}) == 4
+    odd = docs_of(spark, ["a", "b"]).withColumns({c: F.lit(c) for c in ("_source", "_hash", "_range", "_position", "_row", "_key", "_fraction", "_before")})
+    out = sharding.interleave(odd, shards=2)
+    assert out.columns == [*odd.columns, "shard", "slot"] and all(r["_range"] == "_range" and r["_position"] == "_position" for r in out.collect())
+
+
+def test_many_sources_and_one_id_are_spread(spark):
+    """Single-row sources do not share a fraction, rows of one id do not share a range."""
+    lone = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("source"))
+    fractions = lone.select((F.floor((1 - sharding.offset(17, F.concat(F.lit("="), "source"))) * 64)).alias("slice")).groupBy("slice").count().collect()
+    assert len(fractions) == 64 and max(r["count"] for r in fractions) < 4000 / 64 * 2
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.col("id").alias("n"))
+    draws = same.select(F.shiftright(sharding.draw(same, 17, "doc_id"), 54).alias("range")).groupBy("range").count().collect()
+    assert len(draws) == 64 and max(r["count"] for r in draws) < 4000 / 64 * 2
+    out = sharding.interleave(same.unionByName(lone, allowMissingColumns=True), shards=5)
+    assert sorted(r["count"] for r in out.groupBy("shard").count().collect()) == [1600] * 5
