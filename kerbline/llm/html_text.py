@@ -1,23 +1,27 @@
 """Main text of HTML pages by the distribution of line blocks.
 
 A page becomes lines: one per block-level element, in page order, without markup, scripts and styles, with character
-references decoded and white space folded.  Lines of menus, headers, footers, sidebars, notices, adverts, forms and comments are
-left out.  Each other line has a weight: its length outside links, or, if the page marks an article, its length and a
-constant inside the longest article and nothing outside.  Weights
-are summed over a sliding window of `SPAN` lines.  The main text surges where the sums rise over `SURGE` and dives where
-they fall to nothing; between the surge and the dive of the heaviest such stretch every line that is not boilerplate is
-kept, however short.
-
-Defined results: a null page, and one without any text, have an empty text; an element that is never closed ends with
-its parent, and an article or main element ends menus and adverts left open before it; each input row gives one result
-row, and its other columns stay (columns named `text` and `n_chars` are replaced).
+references decoded and white space folded.  Lines of menus, headers, footers, sidebars, notices, adverts, forms and
+comments are left out where the page names them: by element, role, or a class or id whose words say so.  A name that
+would take nearly all of the text is that of a wrapper and does not count.
+
+Each line weighs its length outside links, nothing if it is mostly links.  Weights are summed over a sliding window of
+`SPAN` lines.  Text surges where the sums rise over `SURGE` and dives where they fall to nothing.  The content is the
+innermost element with most of the heaviest such stretch and several of its lines, and the main text reaches from the first surge to the last
+dive inside it; between these every line is kept, however short and however linked.  Where a page marks its text by
+article or main elements, the distribution has nothing left to decide, and all lines inside them are kept.
+
+Defined results: a null page, and one without any text, have an empty text; if nothing surges all lines that the page
+does not name as something else are kept; an element that is never closed ends with its parent, and an article or main
+element ends menus and adverts left open before it; each input row gives one result row, and its other columns stay
+(columns named `text` and `n_chars` are replaced, any other name is free).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,8 +30,9 @@ from pyspark.sql import functions as F
 
 SPAN = 3
 SURGE = 40
-#: What a line of an article weighs besides its text.
-IN_ARTICLE = SURGE
+#: The share of the heaviest stretch that its content element has, and of all text that makes a name a wrapper's.
+MOST = 0.7
+WRAPS = 0.8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style head title noscript template svg math canvas iframe object audio video select option textarea button datalist".split())
@@ -43,21 +48,53 @@ ENDS = {
     "td": frozenset(["td", "th", "tr"]),
     "th": frozenset(["td", "th", "tr"]),
 }
-_WORDS = (
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side rail widget menu navigation nav navbar breadcrumb breadcrumbs topbar toolbar "
-    "masthead header footer foot cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended "
-    "recommendations trending popular comment comments reply replies respondent discussion disqus pagination pager copyright legal disclaimer skip toc tags byline meta"
-).split()
-_BOILERPLATE = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(_WORDS)})(?=$|[\s_-]|\d)", re.IGNORECASE)
-_LASTING = re.compile(r"comment|repl(?:y|ies)|discussion|disqus|related|recommend|trending|popular|teaser|card", re.IGNORECASE)
+#: Words of class names and ids that name boilerplate; COMMENTS are so whatever holds them.
+COMMENTS = frozenset("comment comments reply replies respond respondent discussion disqus".split())
+NAMED = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar rail widget widgets menu navigation nav navbar breadcrumb breadcrumbs topbar toolbar masthead "
+    "header footer cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations trending "
+    "popular pagination pager copyright disclaimer skip toc teaser card".split()
+)
+#: What may follow such a word without changing what it names, what before it speaks of a wrapper, and whose header is a title.
+HOLDERS = frozenset("box block bar area wrap wrapper container inner outer section list item items link links panel slot unit row column left right top bottom main text body form thread message messages".split())
+SPEAKS_OF = frozenset("has no with without is not show hide js".split())
+TITLED = frozenset("article entry post content story section page".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 
-class Line:
-    __slots__ = ("text", "linked", "aside", "article", "heading")
+def named_as(names: str) -> str | None:
+    """The boilerplate that one of the class names or ids names: its last word does, or its first with a mere holder behind."""
+    for name in names.split():
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        if not parts or parts[0] in SPEAKS_OF:
+            continue
+        if parts[-1] in NAMED and not (parts[-1] == "header" and parts[0] in TITLED):
+            return parts[-1]
+        if parts[0] in NAMED and len(parts) > 1 and parts[1] in HOLDERS:
+            return parts[0]
+    return None
+
+
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters inside links
+    aside: bool  # boilerplate by element, role or as comments
+    name: int  # the innermost element around that is named as other boilerplate, 0 if none
+    article: bool
+    block: int  # the innermost block element around
+
+
+class _Open(NamedTuple):
+    """An open element, with what it has from those around it."""
 
-    def __init__(self, text: str, linked: int, aside: bool, article: int, heading: bool):
-        self.text, self.linked, self.aside, self.article, self.heading = text, linked, aside, article, heading
+    tag: str
+    hidden: bool
+    aside: bool
+    name: int
+    article: bool
+    comments: bool  # which an article does not end
+    block: int
 
 
 class _Reader(HTMLParser):
@@ -66,9 +103,9 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.articles = 0
-        # of each open element: name, hidden, aside, article, kind of aside that an article does not end
-        self.open: list[tuple[str, bool, bool, int, bool]] = [("", False, False, 0, False)]
+        # of each block element, and of each element named as boilerplate, the one of its kind around it
+        self.blocks, self.names = [0], [0]
+        self.open = [_Open("", False, False, 0, False, False, 0)]
         self.parts: list[str] = []
         self.linked = 0
         self.links = 0
@@ -77,9 +114,8 @@ class _Reader(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                name, _, aside, article, _ = next(x for x in reversed(self.open) if x[0] not in INLINE)
-                heading = any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in self.open[-3:])
-                self.lines.append(Line(text, min(self.linked, len(text)), aside, article, heading))
+                at = next(x for x in reversed(self.open) if x.tag not in INLINE)
+                self.lines.append(Line(text, min(self.linked, len(text)), at.aside, at.name, at.article, at.block))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -90,38 +126,40 @@ class _Reader(HTMLParser):
             if tag not in INLINE:
                 self._end_line()
             return
-        if tag not in INLINE:
+        block = tag not in INLINE
+        if block:
             self._end_line()
             while len(self.open) > 1:
                 # inline elements left open in a paragraph end with it
-                k = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] not in INLINE), 0)
-                if k and tag in ENDS.get(self.open[k][0], ()):
+                k = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag not in INLINE), 0)
+                if k and tag in ENDS.get(self.open[k].tag, ()):
+                    self.links -= sum(x.tag == "a" for x in self.open[k:])
                     del self.open[k:]
                 else:
                     break
-        _, hidden, aside, article, lasting = self.open[-1]
+        around = self.open[-1]
         known = dict(attrs)
-        marks = " ".join(filter(None, (known.get("class"), known.get("id"))))
         role = (known.get("role") or "").lower()
         content = tag in ("article", "main") or role in ("main", "article")
-        marked = bool(marks) and tag not in ("html", "body") and bool(_BOILERPLATE.search(marks))
-        if content and not marked and not lasting:
-            aside = False
-        if tag == "header" and article:
-            own = False
-        else:
-            own = tag in ASIDE or role in _ROLES
-        own = own or (marked and not (content and not _LASTING.search(marks)))
+        marks = " ".join(filter(None, (known.get("class"), known.get("id"))))
+        named = named_as(marks) if marks and tag not in ("html", "body") else None
+        comments = around.comments or named in COMMENTS
         style = (known.get("style") or "").replace(" ", "").lower()
-        hidden = hidden or tag in HIDDEN or "hidden" in known or "display:none" in style
-        lasting = lasting or ((own or aside or content) and bool(_LASTING.search(marks)))
-        aside = aside or own or (content and lasting)
-        if content and not aside:
-            self.articles += 1
-            article = self.articles
+        hidden = around.hidden or tag in HIDDEN or "hidden" in known or "display:none" in style
+        aside, name, at = around.aside, around.name, around.block
+        if block:
+            self.blocks.append(at)
+            at = len(self.blocks) - 1
+        if content and named is None and not comments:
+            aside, name = False, 0
+        # the header of an article is its title, and old pages are one form
+        aside = aside or comments or role in _ROLES or (tag in ASIDE and tag != "form" and not (tag == "header" and around.article))
+        if (named and not comments) or tag == "form":
+            self.names.append(name)
+            name = len(self.names) - 1
         if tag == "a":
             self.links += 1
-        self.open.append((tag, hidden, aside, article, lasting))
+        self.open.append(_Open(tag, hidden, aside, name, around.article or content, comments, at))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -135,66 +173,97 @@ class _Reader(HTMLParser):
         if tag not in INLINE:
             self._end_line()
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                self.links -= sum(x[0] == "a" for x in self.open[i:])
+            if self.open[i].tag == tag:
+                self.links -= sum(x.tag == "a" for x in self.open[i:])
                 del self.open[i:]
                 return
-            if tag in INLINE and self.open[i][0] not in INLINE:
+            if tag in INLINE and self.open[i].tag not in INLINE:
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.open[-1][1]:
+        if not self.open[-1].hidden:
             self.parts.append(data)
             if self.links > 0:
                 self.linked += len(data.strip())
 
-    def finished(self) -> list[Line]:
-        self.close()
-        self._end_line()
-        return self.lines
-
 
-def lines_of(html: str) -> list[Line]:
+def read(html: str) -> _Reader:
+    """The page's lines and elements."""
     reader = _Reader()
     reader.feed(html)
-    return reader.finished()
+    reader.close()
+    reader._end_line()
+    return reader
 
 
-def stretch(weights: np.ndarray) -> tuple[int, int]:
-    """First line and end of the heaviest stretch between a surge and a dive; (0, 0) if nothing surges."""
+def stretches(weights: np.ndarray) -> list[tuple[int, int]]:
+    """First line and end of each stretch between a surge and a dive."""
     sums = np.convolve(weights, np.ones(SPAN), "same") if len(weights) >= SPAN else np.full(len(weights), weights.sum())
-    best, found, start, surged = 0.0, (0, 0), None, False
+    found, start, surged = [], None, False
     for i, total in enumerate([*sums, 0.0]):
         if total > 0 and start is None:
             start, surged = i, False
         surged = surged or total >= SURGE
         if total <= 0 and start is not None:
-            weight = float(weights[start:i].sum())
-            if surged and weight > best:
-                best, found = weight, (start, i)
+            if surged:
+                found.append((start, i))
             start = None
     return found
 
 
-def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
-    if not lines:
-        return ""
-    sizes: dict[int, int] = {}
-    for line in lines:
-        if line.article and not line.aside:
-            sizes[line.article] = sizes.get(line.article, 0) + len(line.text)
-    main = max(sizes, key=lambda k: (sizes[k], -k)) if sizes else 0
+def _weights(lines: list[Line]) -> np.ndarray:
+    # a line that is mostly links is part of a list of links
+    return np.array([0 if 2 * x.linked > len(x.text) else len(x.text) - x.linked for x in lines], float)
+
+
+def _shares(at: list[int], weights: np.ndarray, around: list[int]) -> np.ndarray:
+    """How much of the weight each element holds, given the element of each weight and the one around each element."""
+    held = np.bincount(at, weights, minlength=len(around))
+    for i in range(len(around) - 1, 0, -1):  # what is inside comes later
+        held[around[i]] += held[i]
+    return held
+
+
+def unnamed(lines: list[Line], names: list[int]) -> list[Line]:
+    """The lines that are in no named boilerplate; the name of an element with nearly all text does not count."""
     lines = [x for x in lines if not x.aside]
-    if main:
-        weights = np.array([(IN_ARTICLE + len(x.text)) * (x.article == main) for x in lines], float)
-    else:
-        # a line that is mostly links is part of a list of links
-        weights = np.array([0 if 2 * x.linked > len(x.text) else len(x.text) - x.linked for x in lines], float)
-    first, end = stretch(weights)
-    if first == end:
-        first, end = 0, len(lines)
-    return "\n".join(x.text for x, w in zip(lines[first:end], weights[first:end], strict=True) if w > 0)
+    if not any(x.name for x in lines):
+        return lines
+    at = [x.name for x in lines]
+    sizes = np.array([len(x.text) for x in lines], float)
+    wraps = (_shares(at, sizes, names) > WRAPS * sizes.sum()) & (_shares(at, np.ones(len(lines)), names) >= SPAN)
+    clear = [True]
+    for i in range(1, len(names)):
+        clear.append(clear[names[i]] and bool(wraps[i]))
+    return [x for x in lines if clear[x.name]]
+
+
+def content_of(lines: list[Line], blocks: list[int]) -> list[Line]:
+    """The lines from the first surge to the last dive in the content element."""
+    weights = _weights(lines)
+    found = stretches(weights)
+    if not found:
+        return lines
+    a, b = max(found, key=lambda x: (weights[x[0] : x[1]].sum(), -x[0]))
+    at = [blocks[x.block] for x in lines[a:b]]  # a line's own element is no container
+    most = (_shares(at, weights[a:b], blocks) >= MOST * weights[a:b].sum()) & (_shares(at, np.ones(b - a), blocks) >= min(SPAN, b - a))
+    # elements with more than half are inside one another, and the innermost one comes last
+    element = int(np.flatnonzero(most)[-1])
+    inside = [element == 0]
+    for i in range(1, len(blocks)):
+        inside.append(i == element or inside[blocks[i]])
+    lines = [x for x in lines if inside[x.block]]
+    weights = _weights(lines)
+    found = stretches(weights) or [(0, len(lines))]
+    kept = np.flatnonzero(weights[found[0][0] : found[-1][1]]) + found[0][0]
+    return lines[kept[0] : kept[-1] + 1]
+
+
+def main_text(html: str | None) -> str:
+    page = read(html or "")
+    lines = unnamed(page.lines, page.names)
+    marked = [x for x in lines if x.article]
+    return "\n".join(x.text for x in (marked or content_of(lines, page.blocks)))
 
 
 def _main_texts(pages: pd.Series) -> pd.Series:

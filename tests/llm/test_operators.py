@@ -236,11 +236,25 @@ def test_contamination_edge_cases(spark):
 
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
+LONG = ("A sentence of the text. " * 4).strip()
 PAGES = [
     ("<html><head><title>T</title><script>var x='<p>no</p>'</script></head><body><nav><a href=/>Home</a></nav><article><h1>Head &amp; line</h1><p>One  two\nthree.<br>four</p><p><b>Bold<p>Short.</article><div class='comments'><p>I disagree!</p></div><footer>&copy; x</footer></body></html>", "Head & line\nOne two three. four\nBold\nShort."),
     ("<body><div id=sidebar><p>Links and things that are long enough to matter here.</p></div><div class=post><h2>Title</h2><p>" + "A sentence of the text. " * 5 + "</p><p>End.</p></div><form>Name <input></form></body>", "Title\n" + ("A sentence of the text. " * 5).strip() + "\nEnd."),
     ("", ""), (None, ""), ("<p></p>", ""), ("plain text only", "plain text only"), ("<div class=ad>Buy</div>", ""),
     ("<main><p>a &lt;b&gt; &#233;&nbsp;c</p><aside>not this</aside><p>d</p></main>", "a <b> é c\nd"),
+    # names that speak of a wrapper or of something else
+    ("<div class='layout has-sidebar'><p>" + LONG + "</p><div class=sidebar><p>" + LONG + "</p></div></div>", LONG),
+    ("<div class='content card'><p>One.</p><p>" + LONG + "</p><p>Two.</p></div>", "One.\n" + LONG + "\nTwo."),
+    ("<body><div class='side-by-side'><p>" + LONG + "</p></div><div id='meta-analysis'><p>More of it, and enough to matter here.</p></div></body>", LONG + "\nMore of it, and enough to matter here."),
+    ("<form><h1>Old page</h1><p>" + LONG + "</p><p>Last.</p></form>", "Old page\n" + LONG + "\nLast."),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p>Text.</p><div id=comment-12><p>" + LONG + "</p></div><div class='ad-slot'>Buy</div></article>", "Title\nText."),
+    # links inside the text stay, lists of links around it do not
+    ("<p>" + LONG + "</p><p><a href=x>a paragraph that is a link</a></p><p>" + LONG + "</p>", LONG + "\na paragraph that is a link\n" + LONG),
+    ("<div><ul>" + "<li><a href=x>item</a></li>" * 6 + "</ul><div id=t><p>" + LONG + "</p><ul>" + "<li><a href=x>item</a></li>" * 6 + "</ul><p>" + LONG + "</p></div><ul>" + "<li><a href=x>item</a></li>" * 6 + "</ul></div>",
+     "\n".join([LONG, *["item"] * 6, LONG])),
+    # several articles, and what is around them
+    ("<p>" + LONG + "</p><article><p>One.</p></article><nav>x</nav><article><p>" + LONG + "</p></article>", "One.\n" + LONG),
+    ("<main><h1>Head</h1><article><p>One.</p></article><article><p>Two.</p></article><p>End.</p></main>", "Head\nOne.\nTwo.\nEnd."),
     ("<div class='cookie-notice'>We use cookies.<article><p>Text of the article.</p></article>", "Text of the article."),
 ]
 
@@ -252,6 +266,32 @@ def test_main_text():
     assert html_text.main_text(long).count("\n") == 19_999
 
 
+def _brute_stretches(weights):
+    """Line by line: from where a window holds text to where none does, if one in between holds enough."""
+    sums = [sum(weights[max(0, i - 1) : i + 2]) if len(weights) >= 3 else sum(weights) for i in range(len(weights))]
+    runs = []
+    for i, total in enumerate(sums):
+        if total > 0:
+            if i and sums[i - 1] > 0:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+    return [(r[0], r[-1] + 1) for r in runs if max(sums[i] for i in r) >= html_text.SURGE]
+
+
+def test_stretches_match_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        weights = rng.choice([0, 0, 0, 5, 20, 60], rng.integers(1, 40)).astype(float)
+        assert html_text.stretches(weights) == _brute_stretches(weights.tolist())
+
+
+def test_deep_pages():
+    deep = "<div class=x>" * 20_000 + "<p>" + LONG + "</p>"
+    assert html_text.main_text(deep) == LONG
+    assert html_text.main_text("<div class=ad>" * 5_000 + LONG) == ""
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(i, h, "old") for i, (h, _) in enumerate(PAGES)] + [(0, PAGES[0][0], "old")], "page_id long, html string, text string")
     out = html_text.extract(pages)
