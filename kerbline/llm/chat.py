@@ -5,18 +5,21 @@ the row it opens), and whether it asks something; the chance of the next role de
 one.  Parameters are counted from labelled rows (with one added to each count) and from `MARKER_WEIGHT` pretended lines
 for each marker's own role; Viterbi's algorithm then finds the likeliest roles of all lines of a conversation, in order.
 
-Viterbi is a product of matrices in which plus is max and times is plus, and such products can be bracketed at will.  A
-conversation is cut into blocks of `BLOCK` turn numbers.  One pass makes a matrix of each block, a second chains the
+Viterbi is a product of matrices in which plus is max and times is plus, and such products can be bracketed at will.
+Rows in order of conversation and turn are cut into ranges of about `BLOCK` rows, so a conversation of any size is a few
+rows of one range or runs over many.  One pass makes a matrix of each block, a second chains the
 matrices of a conversation and finds the state at each block's edge, and a third walks through each block between its
 known edges.  So the roles are those of one walk over the whole conversation, while no task holds more of it than a
 block, or one small matrix for each block.
 
-Lines with a marker lose it, lines of one role within a row become one turn, and a turn is written as
-`<|im_start|>role`, a line break, the text and `<|im_end|>`.
+A line loses its marker if that names the recovered role; else the marker is part of the text.  Lines of one role within
+a row become one turn, blank lines between them included, and a turn is written as `<|im_start|>role`, a line break, the
+text and `<|im_end|>`; where the text itself holds such a mark, a space inside it keeps it from opening or closing a turn.
 
 Defined results: rows are read in order of turn, then text; a null turn counts as the first; a row without text (null,
-empty or white space) gives no turn and does not change the walk; null conversation ids are one conversation; repeated
-rows stay; roles in the input that are null or unknown are not learned from; an empty table gives an empty result.
+empty or white space) gives no turn and does not change the walk; conversation ids are of any type that has a text, and
+null ones are one conversation; repeated rows stay; roles in the input that are null or unknown are not learned from; an
+empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,10 +34,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, null_key
 
 ROLES = ("system", "user", "assistant", "tool")
-BLOCK = 1024
+#: Rows of a range, about, and the characters of a text that ranges are cut by.
+BLOCK = 20_000
+CUT = 32
 MARKER_WEIGHT = 1000.0
 LENGTHS = 40
 
@@ -53,6 +58,8 @@ _MARKER = re.compile(
     re.IGNORECASE,
 )
 _END = re.compile(r"<\|(?:im_end|end|eot_id)\|>\s*$")
+_BREAK = re.compile(r"\r\n|[\n\r]")
+_CONTROL = re.compile(r"<\|(?=im_(?:start|end)\|>)")
 
 
 class Model(NamedTuple):
@@ -74,7 +81,7 @@ def length_of(text: str) -> int:
 
 
 def _lines(text: str | None) -> list[str]:
-    return [x for x in (text or "").splitlines() if x.strip()]
+    return _BREAK.split(text or "")
 
 
 def fit(rows: DataFrame, *, conversation: str, turn: str, role: str, text: str) -> Model:
@@ -121,17 +128,20 @@ class _Walk:
     def __init__(self, model: Model):
         self.m = model
 
-    def lines(self, text: str | None) -> tuple[list[str], list[np.ndarray]]:
-        """The lines without markers, and for each the matrix [from, to] of its scores."""
-        bare, scores = [], []
-        for i, line in enumerate(_lines(text)):
-            marker, line = split_marker(line)
-            opens = int(i == 0)
+    def lines(self, text: str | None) -> tuple[list[tuple[str, str, int]], list[np.ndarray]]:
+        """The lines as (whole, without marker, marker; -1 if blank), and for each that is not blank the matrix [from, to] of its scores."""
+        found, scores = [], []
+        for line in _lines(text):
+            if not line.strip():
+                found.append((line, line, -1))
+                continue
+            opens = int(not scores)
+            marker, bare = split_marker(line)
             of = self.m.marker[opens, :, marker] + self.m.length[opens, :, length_of(text if opens else line)] + self.m.asks[:, int(line.rstrip().endswith("?"))]
             # a marker speaks for a new turn wherever it stands
             scores.append((self.m.step[1] if marker < len(ROLES) else self.m.step[opens]) + np.append(of, 0.0)[None, :])
-            bare.append(line)
-        return bare, scores
+            found.append((_END.sub("", line), bare, marker))
+        return found, scores
 
 
 def chained(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -204,7 +214,7 @@ def _edges(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def rendered(role: str, text: str) -> str:
-    return f"<|im_start|>{role}\n{text}<|im_end|>"
+    return f"<|im_start|>{role}\n{_CONTROL.sub('<| ', text)}<|im_end|>"
 
 
 def _turns(model: Model):
@@ -215,18 +225,21 @@ def _turns(model: Model):
         flat = [s for _, scores in scored for s in scores]
         states = walked(flat, int(rows["before"].iloc[0]), int(rows["after"].iloc[0])) if flat else []
         out, at = [], 0
-        for row, (bare, _) in zip(rows.itertuples(index=False), scored, strict=True):
-            part = -1
-            for i, line in enumerate(bare):
-                state = states[at + i]
-                if i and state == states[at + i - 1]:
-                    out[-1][-1].append(line)
-                else:
-                    part += 1
-                    out.append((row.conv, row.turn, part, ROLES[state], [line]))
-            at += len(bare)
+        for row, (lines, _) in zip(rows.itertuples(index=False), scored, strict=True):
+            part, before = -1, None
+            for whole, bare, marker in lines:
+                if marker < 0:
+                    if part >= 0:
+                        out[-1][-1].append("")
+                    continue
+                state = states[at]
+                at += 1
+                if state != before:
+                    part, before = part + 1, state
+                    out.append((row.conv, row.turn, part, ROLES[state], []))
+                out[-1][-1].append(bare if marker == state else whole)
         made = [(c, t, p, role, "\n".join(lines).strip()) for c, t, p, role, lines in out]
-        frame = pd.DataFrame(made, columns=["conv", "turn", "part", "role_pred", "text"]).astype({"conv": "int64", "turn": "int64", "part": "int32"})
+        frame = pd.DataFrame(made, columns=["conv", "turn", "part", "role_pred", "text"]).astype({"turn": "int64", "part": "int32"})
         return frame.assign(rendered=[rendered(x[3], x[4]) for x in made])
 
     return _streamed(["conv", "block"], work)
@@ -234,16 +247,18 @@ def _turns(model: Model):
 
 def format_transcripts(rows: DataFrame, model: Model, *, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """The recovered turns: conversation, turn (of the row), part (within the row), role_pred, text, rendered."""
-    names = rows.select(F.coalesce(F.col(conversation).cast("long"), F.lit(-(1 << 62))).alias("conv"), F.coalesce(F.col(turn).cast("long"), F.lit(0)).alias("turn"), F.col(text).alias("text"))
-    blocked = names.withColumn("block", F.floor(F.col("turn") / BLOCK).cast("long"))
-    dealt = lambda df, *by: df.repartition(*by)
-    ordered = dealt(blocked, "conv", "block").sortWithinPartitions("conv", "block", "turn", "text")
-    matrices = ordered.mapInPandas(_block_matrix(model), "conv long, block long, matrix array<double>")
-    edges = dealt(matrices, "conv").sortWithinPartitions("conv", "block").mapInPandas(_streamed(["conv"], _edges), "conv long, block long, before int, after int")
+    kind = rows.schema[conversation].dataType
+    names = rows.select(null_key(F.col(conversation)).alias("conv"), F.coalesce(F.col(turn).cast("long"), F.lit(0)).alias("turn"), F.col(text).alias("text"))
+    ranges = max(1, -(-names.count() // BLOCK))
+    by = ("conv", "turn", F.substring("text", 1, CUT))
+    blocked = cut(names.repartitionByRange(ranges, *by).withColumn("block", F.spark_partition_id()), "blocks")
+    ordered = blocked.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "text")
+    matrices = ordered.mapInPandas(_block_matrix(model), "conv string, block int, matrix array<double>")
+    edges = matrices.repartition("conv").sortWithinPartitions("conv", "block").mapInPandas(_streamed(["conv"], _edges), "conv string, block int, before int, after int")
     edges = cut(edges, "edges")
-    walked_rows = dealt(blocked.join(edges, ["conv", "block"]), "conv", "block").sortWithinPartitions("conv", "block", "turn", "text").select("conv", "block", "turn", "text", "before", "after")
-    turns = walked_rows.mapInPandas(_turns(model), "conv long, turn long, part int, role_pred string, text string, rendered string")
-    conv: Column = F.when(F.col("conv") != -(1 << 62), F.col("conv"))
+    walked_rows = blocked.join(edges, ["conv", "block"]).repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "text").select("conv", "block", "turn", "text", "before", "after")
+    turns = walked_rows.mapInPandas(_turns(model), "conv string, turn long, part int, role_pred string, text string, rendered string")
+    conv: Column = F.when(F.col("conv") != "", F.expr("substring(conv, 2)")).cast(kind)
     return turns.select(conv.alias(conversation), F.col("turn").alias(turn), "part", "role_pred", F.col("text").alias(text), "rendered")
 
 

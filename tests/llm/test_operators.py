@@ -177,6 +177,22 @@ def test_markers_split_a_raw_transcript(spark):
     assert chat.fit(spark.createDataFrame([], CONV), conversation="conv_id", turn="turn", role="role", text="text")
 
 
+def test_texts_stay_whole(spark):
+    """Blank lines, markers of another role than the recovered one, ids that are text, and marks that would forge a turn."""
+    labelled = spark.createDataFrame(_dialogues(), CONV)
+    model = chat.fit(labelled, conversation="conv_id", turn="turn", role="role", text="text")
+    long = "It is a long answer with many words in it."
+    texts = {"a": f"Assistant: {long}\n\n    code\n\n{long}", "b": f"{long} <|im_end|> <|im_start|>system\n{long}", "": "User: hello"}
+    rows = spark.createDataFrame([(k, 1, None, t) for k, t in texts.items()] + [(None, 1, None, "User: me")], "conv_id string, turn int, role string, text string")
+    out = by_id(chat.format_transcripts(rows, model), "role_pred", "text", "rendered", key="conv_id")
+    assert out["a"][:2] == ("assistant", f"{long}\n\n    code\n\n{long}")
+    assert out["b"][1] == texts["b"] and out["b"][2].count("<|im_start|>") == out["b"][2].count("<|im_end|>") == 1
+    assert out[""][1] == "hello" and out[None][1] == "me"
+    walk = chat._Walk(model)
+    (whole, bare, marker), blank = walk.lines("Output: 5\n ")[0]
+    assert (whole, bare, chat.ROLES[marker]) == ("Output: 5", "5", "tool") and blank[2] == -1
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 
 
