@@ -1,6 +1,6 @@
 """Token ids of a corpus in files of grammar-compressed blocks.
 
-Documents go in ascending id order into shards, one per range of ids.  A shard is a sequence of blocks; a block holds
+Documents go in ascending id order, or in that of another column, into shards, one per range of it.  A shard is a sequence of blocks; a block holds
 whole documents, about `repair.BLOCK_IDS` ids, as a grammar: rules, their expansion lengths and the remaining symbols,
 beside the ids and lengths of its documents.  The files are Parquet, written by Spark's own committer to whatever store
 the path names, so a lost executor costs its unfinished block files alone; the table of blocks is the index.
@@ -250,10 +250,12 @@ def _encode_shard(path: str, end: int):
     return run
 
 
-def encode(docs: DataFrame, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
-    """The rows of the file format, one per block."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+def encode(docs: DataFrame, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", order: str | None = None, end: int = END) -> DataFrame:
+    """The rows of the file format, one per block; rows go in the order of the given column, or of their ids."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.col(order).alias("place")] if order else []))
+    by = ["place", "key"] if order else ["key"]
+    # a beginning of the text parts the rows of one id
+    ordered = rows.repartitionByRange(*by, F.substring("text", 1, 16)).sortWithinPartitions(*by, "text").select("key", "text")
     return ordered.mapInArrow(_encode_shard(tokenizer_file, end), BLOCKS)
 
 

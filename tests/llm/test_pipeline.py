@@ -1,5 +1,6 @@
 """The pipeline and the queries of the driver contract on the smallest tables."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -75,12 +76,50 @@ def test_tokens_of_the_last_stage(stages):
 
     before, after = stages[4]
     encode = Tokenizer.from_file(token_store.default_tokenizer())
+    copies, rows = Counter(), []
+    for r in before.collect():
+        place = int(hashlib.md5(f"30:{r['doc_id']}:{copies[r['doc_id']]}".encode()).hexdigest()[:15], 16)
+        copies[r["doc_id"]] += 1
+        rows.append((place, r["doc_id"], r["text"]))
     want, start = [], 0
-    for r in sorted(before.collect(), key=lambda r: (r["doc_id"], r["text"])):
-        ids = np.array([*encode.encode(r["text"], add_special_tokens=False).ids, 0], "<u4")
-        want.append((r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
+    for _, key, text in sorted(rows):
+        ids = np.array([*encode.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(map(tuple, after.collect())) == sorted(want)
+    assert max(copies.values()) > 1
+
+
+CLASHING = ("_source", "_row", "row", "score", "lang_pred", "copies", "copy", "rate", "shuffle_key", "place", "_dirty", "key", "name", "n", "_said", "component_id", "kept")
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_odd_rows_in_every_stage(stage, spark):
+    """Nulls in any column, an empty and a very long text, repeated rows, columns with clashing names, an empty table."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    item = spark.read.parquet(f"{D}/benchmark.parquet").orderBy("item_id").first()["text"]
+    prose = docs.filter("lang = 'en' AND n_chars BETWEEN 2000 AND 4000").orderBy("doc_id").first()["text"]
+    # distinct ids and texts; 905 is a dirty text, 906 and 907 one text
+    odd = [(900, None, "en", "s", 0), (901, "", None, None, None), (902, " ".join(f"{prose} {i}" for i in range(150)), None, None, None), (None, prose[::-1], None, None, None), (905, f"{prose[5:900]} {item}", None, "t", 1), (906, prose[50:], "en", "t", 1), (907, prose[50:], "en", "t", 1)]
+    more = spark.createDataFrame(odd + odd[:1], docs.schema)
+    docs = docs.filter("doc_id < 150").unionByName(more).withColumns({c: F.lit(c) for c in CLASHING})
+    out = run(spark, docs, D)
+    if stage == "tokenize":
+        facts = {r["doc_id"]: r["n_tokens"] for r in out.collect()}
+        assert out.count() == docs.count() and facts[900] == facts[901] == 1 and facts[None] > 1 and facts[902] > 20_000
+    else:
+        assert out.columns == docs.columns and all(out.filter(F.col(c) != c).isEmpty() for c in CLASHING)
+        ids = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+        if stage == "language_id":
+            assert ids[900] == ids[901] == 0 and ids[906] == ids[907] == 1
+        elif stage == "near_dedup":
+            assert ids[900] == 2 and ids[901] == ids[None] == 1 and ids[906] + ids[907] <= 1 and ids[902] == 1
+        elif stage == "decontaminate":
+            assert ids[900] == 2 and ids[901] == ids[None] == ids[902] == ids[906] == 1 and not ids[905]
+        else:
+            assert ids[900] % 2 == 0 and set(ids) <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert run(spark, docs.limit(0), D).count() == 0
 
 
 def test_oracles_agree(spark):
