@@ -1,12 +1,14 @@
 """A corpus pipeline of five stages, each made by one operator of kerbline.llm.
 
 Every stage takes the session, the documents that its predecessor kept, and the folder of the tables.  The first four
-return the columns of `documents`; the last one returns the index of the token files.
+return the columns of `documents`, whatever further ones there are and however they are called; the last one returns the
+index of the token files.  An empty table passes through all stages and gives an empty index; repeated rows are judged
+alike and stay repeated until the mixture draws their counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm import decontam, langid, mixing, neardup, token_store
@@ -17,34 +19,52 @@ LEAST_CERTAIN = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the byte network knows."""
-    said = langid.identify(docs, langid.model_of(docs))
+    """Keeps documents in a language that the byte network knows.
+
+    A null text and one without a letter have no language and go; a null `lang` is only not learned from.  Without any
+    labelled text nothing can be known and nothing is kept.
+    """
+    said = langid.identify(docs.select("text", F.struct("*").alias("row")), langid.model_of(docs))
     kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)
-    return said.filter(kept).select(*docs.columns)
+    return said.filter(kept).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """Keeps the document with the least id of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    Documents without words are no duplicates of each other and stay; so do all rows of a kept id, and rows without an id.
+    """
     found = neardup.near_duplicates(docs.select("doc_id", "text"))
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that share no window of ten words with a benchmark item."""
+    """Keeps documents that share no window of ten words with a benchmark item.
+
+    Documents without words, and all documents if the benchmark has none, stay; a null id is judged like any other.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontam.decontaminated(docs, items).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that sources weigh as the square root of their rows, in a global random order."""
-    return mixing.mix(docs, power=0.5).select(*docs.columns)
+    """Repeats documents so that sources weigh as the square root of their rows, in a global random order.
+
+    A null source is a source of its own; a null text counts as a row; repeated rows of one id are repeated alike.
+    """
+    return mixing.mix(docs.select("doc_id", "source", F.struct("*").alias("row")), power=0.5).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token files and returns their index."""
-    blocks = token_store.store(docs.select("doc_id", "text"), token_store.default_tokenizer())
-    return token_store.index(blocks)
+    """Writes token files in the mixture's order and returns their index.
+
+    The order is that of the mixture's hash of id and copy number, so copies of a document lie apart.  Equal rows are
+    numbered in no particular order, which no one can tell.  A null text is the end id alone.
+    """
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    ordered = docs.select("doc_id", "text", mixing.order_key(F.col("doc_id"), F.row_number().over(copies) - 1).alias("place"))
+    return token_store.index(token_store.store(ordered, token_store.default_tokenizer(), order="place"))
 
 
 STAGES = [
