@@ -14,6 +14,7 @@ from ..functions import speeds
 from ..functions.columns import clip, truth, whole
 from ..sources.staging import staged
 from . import order
+from .enrich import add_access_control
 
 CELL = ("country", "land_use")
 # fixed values: safe speeds, thresholds, weights, shares and texts of the method
@@ -48,10 +49,10 @@ def valid() -> Column:
 
 
 def add_safe_speed(df: DataFrame) -> DataFrame:
-    """`access_control_basis`, `collision_type`, `v_safe`, `v_safe_basis` by the decision table."""
+    """`access_control_basis`, `collision_type`, `v_safe`, `v_safe_basis` by the decision table, after the raises of access control."""
+    df = add_access_control(df)
     controlled, barrier = truth(F.col("is_access_controlled")), truth(F.col("has_motorcycle_separation"))
     no_motorcycle = truth(F.col("legal_motorcycle") == "no") | barrier
-    basis = F.when(controlled, F.when(F.col("road_class") == "motorway", "osm_motorway").otherwise("osm_motorroad"))
     kind = (
         F.when(controlled & ~no_motorcycle, "motorcycle")
         .when(controlled & truth(F.col("is_divided")), "separated")
@@ -67,7 +68,7 @@ def add_safe_speed(df: DataFrame) -> DataFrame:
         speed = speed.when(F.col("collision_type") == name, value)
     reason = F.when(F.col("collision_type") == "side_impact", "vru_barrier").when(F.col("collision_type") == "pedestrian", "default_vru_possible").otherwise(F.col("access_control_basis"))
     return (
-        df.withColumns({"access_control_basis": basis, "collision_type": kind})
+        df.withColumn("collision_type", kind)
         .withColumn("v_safe", speed.otherwise(PEDESTRIAN))
         .withColumn("v_safe_basis", F.concat_ws(":", "collision_type", reason))
     )

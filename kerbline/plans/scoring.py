@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import speeds
 from ..operators import order, scoring
-from ..sources import tables
+from ..sources import geojson, tables
 from .views import PERCENTILES, SEGMENTS
 
 QUERIES, SQL = {}, {}
@@ -27,9 +27,13 @@ _MIDS, _SHARES = "[" + ", ".join(map(repr, speeds.interval_mids())) + "]", "[" +
 _BANDS = "[" + ", ".join(map(repr, speeds.percentile_shares())) + "]"
 
 SAFE = """
-typed AS (SELECT *, CASE WHEN is_access_controlled THEN CASE WHEN road_class = 'motorway' THEN 'osm_motorway' ELSE 'osm_motorroad' END END AS access_control_basis,
+opened AS (SELECT * EXCLUDE (is_access_controlled), coalesce(is_access_controlled, false) AS mapped, coalesce(road_class = 'motorway' AND f85_speed >= 50, false) AS fast,
+  coalesce(legal_foot = 'no' AND legal_bicycle = 'no' AND legal_foot_confidence IN ('medium', 'high'), false) AS closed FROM segments),
+controlled AS (SELECT * EXCLUDE (mapped, fast, closed), mapped OR fast OR closed AS is_access_controlled,
+  CASE WHEN mapped THEN CASE WHEN road_class = 'motorway' THEN 'osm_motorway' ELSE 'osm_motorroad' END WHEN fast THEN 'overture_motorway_fallback' WHEN closed THEN 'osm_vru_prohibited' END AS access_control_basis FROM opened),
+typed AS (SELECT *,
   CASE WHEN is_access_controlled AND NOT (coalesce(legal_motorcycle = 'no', false) OR has_motorcycle_separation) THEN 'motorcycle' WHEN is_access_controlled AND is_divided THEN 'separated'
-    WHEN is_access_controlled THEN 'head_on' WHEN has_vru_barrier THEN 'side_impact' ELSE 'pedestrian' END AS collision_type FROM segments),
+    WHEN is_access_controlled THEN 'head_on' WHEN has_vru_barrier THEN 'side_impact' ELSE 'pedestrian' END AS collision_type FROM controlled),
 safe AS (SELECT *, (CASE collision_type WHEN 'separated' THEN CASE road_class WHEN 'motorway' THEN 100 WHEN 'trunk' THEN 90 ELSE 80 END WHEN 'head_on' THEN 70 WHEN 'motorcycle' THEN 30 WHEN 'side_impact' THEN 50 ELSE 30 END)::DOUBLE AS v_safe,
   concat_ws(':', collision_type, CASE collision_type WHEN 'side_impact' THEN 'vru_barrier' WHEN 'pedestrian' THEN 'default_vru_possible' ELSE access_control_basis END) AS v_safe_basis FROM typed)"""
 GAPS = """
@@ -104,9 +108,12 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-@query("q01_load_population", f"WITH {SEGMENTS} SELECT * FROM segments WHERE speed_limit IS NOT NULL AND road_class <> 'excluded'")
+@query("q01_load_population", f"WITH {SEGMENTS} SELECT * FROM segments WHERE analysis_status = 'Valid' AND exclude_from_speedspi IS DISTINCT FROM 1")
 def q01(spark, d):
-    return _segments(spark, d).filter("speed_limit IS NOT NULL AND road_class <> 'excluded'")
+    """The analysis population: the valid rows of both countries' tables that are not left out."""
+    both = _segments(spark, d)
+    countries = [both.filter(F.col("country") == c) for c in ("thailand", "maharashtra")]
+    return geojson.analysed(countries[0].unionByName(countries[1]))
 
 
 @query("q03_safe_speed_decision", f"WITH {SEGMENTS}, {SAFE} SELECT segment_id, access_control_basis, collision_type, v_safe, v_safe_basis FROM safe")

@@ -22,6 +22,10 @@ segments AS (SELECT
   CASE ok % 4 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN 'unknown' END AS legal_motorcycle,
   pk % 29 = 0 AS has_vru_barrier, pk % 13 = 0 AS has_motorcycle_separation,
   ((pk % 17) * (sk % 3))::INT AS poi_count, (pk % 6)::INT AS osm_poi_category_count, (pk + sk) % 5 = 0 AS is_mapillary_vru, ((ok + ln) % 4)::INT AS crossing_count, (ok + ln) % 4 > 0 AS has_crossing,
+  CASE WHEN (ok + 3 * ln) % 9 = 0 THEN 'Insufficient' WHEN (ok + 3 * ln) % 41 = 1 THEN NULL ELSE 'Valid' END AS analysis_status, CASE WHEN ok % 13 = 0 THEN 1::DOUBLE WHEN ok % 13 > 1 THEN 0::DOUBLE END AS exclude_from_speedspi,
+  CASE ok % 6 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN 'restricted' WHEN 3 THEN 'no' WHEN 4 THEN 'unknown' END AS legal_foot, CASE WHEN ok % 4 IN (0, 3) THEN 'no' ELSE 'yes' END AS legal_bicycle,
+  CASE ln % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS legal_foot_confidence, CASE WHEN pk % 8 = 0 THEN (30 + 5 * (pk % 11))::DOUBLE END AS tomtom_speed_limit,
+  CASE WHEN pk % 3 = 0 THEN ((pk % 12) * 7)::DOUBLE END AS tomtom_median_speed, CASE WHEN pk % 6 = 0 THEN ((pk % 12) * 7 + 11)::DOUBLE END AS tomtom_p85_speed,
   ((7919 * ok) % 20011 + CASE WHEN ok % 2 = 0 THEN 60 * (ln - 1) ELSE 0 END)::DOUBLE AS x1,
   ((104729 * ok) % 20021 + CASE WHEN ok % 2 = 1 THEN 60 * (ln - 1) ELSE 0 END)::DOUBLE AS y1,
   ((7919 * ok) % 20011 + CASE WHEN ok % 2 = 0 THEN 60 * ln ELSE 0 END)::DOUBLE AS x2,

@@ -73,6 +73,14 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("(pk + sk) % 5 = 0").alias("is_mapillary_vru"),
         F.expr("CAST((ok + ln) % 4 AS INT)").alias("crossing_count"),
         F.expr("(ok + ln) % 4 > 0").alias("has_crossing"),
+        F.expr("CASE WHEN (ok + 3 * ln) % 9 = 0 THEN 'Insufficient' WHEN (ok + 3 * ln) % 41 = 1 THEN NULL ELSE 'Valid' END").alias("analysis_status"),
+        F.expr("CASE WHEN ok % 13 = 0 THEN 1D WHEN ok % 13 > 1 THEN 0D END").alias("exclude_from_speedspi"),
+        F.expr("CASE ok % 6 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN 'restricted' WHEN 3 THEN 'no' WHEN 4 THEN 'unknown' END").alias("legal_foot"),
+        F.expr("CASE WHEN ok % 4 IN (0, 3) THEN 'no' ELSE 'yes' END").alias("legal_bicycle"),
+        F.expr("CASE ln % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END").alias("legal_foot_confidence"),
+        F.expr("CASE WHEN pk % 8 = 0 THEN CAST(30 + 5 * (pk % 11) AS DOUBLE) END").alias("tomtom_speed_limit"),
+        F.expr("CASE WHEN pk % 3 = 0 THEN CAST((pk % 12) * 7 AS DOUBLE) END").alias("tomtom_median_speed"),
+        F.expr("CASE WHEN pk % 6 = 0 THEN CAST((pk % 12) * 7 + 11 AS DOUBLE) END").alias("tomtom_p85_speed"),
         F.expr("(7919 * ok) % 20011 + CASE WHEN ok % 2 = 0 THEN 60 * (ln - 1) ELSE 0 END").cast("double").alias("x1"),
         F.expr("(104729 * ok) % 20021 + CASE WHEN ok % 2 = 1 THEN 60 * (ln - 1) ELSE 0 END").cast("double").alias("y1"),
         F.expr("(7919 * ok) % 20011 + CASE WHEN ok % 2 = 0 THEN 60 * ln ELSE 0 END").cast("double").alias("x2"),
