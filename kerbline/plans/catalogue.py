@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, graph, relational, scoring, spatial
+from . import attribution, graph, relational, rules, scoring, spatial
 
-PARTS = (scoring, spatial, attribution, relational, graph)
+PARTS = (scoring, spatial, attribution, relational, graph, rules)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

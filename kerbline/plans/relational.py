@@ -127,13 +127,7 @@ both("q65_equi_join_forms", "orders customer nation", "SELECT n_name, count(*) A
 
 both("q68_poi_flags", "events", "SELECT event_id, event_type = 'view' AS is_school, event_type = 'click' AS is_hospital, event_type IN ('purchase', 'signup') AS is_shop_or_stop, event_type = 'error' OR value > 450 AS is_junction, CASE WHEN event_type = 'view' THEN 'school' WHEN event_type = 'click' THEN 'hospital' WHEN event_type = 'purchase' THEN 'shop' END AS first_flag FROM {events} WHERE event_type <> 'signup' OR value < 100")
 
-both("q72_schema_evolution", "segments", "SELECT segment_id, coalesce(tomtom_mean_speed, -1) AS tomtom_mean_speed, CAST(NULL AS DOUBLE) AS exp_delta_fatal_percent_uniform, speed_data_source, false AS has_detection_file FROM (SELECT segment_id, tomtom_mean_speed, speed_data_source FROM {segments} WHERE piece_no = 1 UNION ALL SELECT segment_id, NULL, 'overture' FROM {segments} WHERE piece_no = 2)")
-
 both("q73_conservation", "row_matches ways", "SELECT count(*) AS n_rows, count(DISTINCT m.osm_way_id) AS n_ways, count_if(w.osm_way_id IS NULL) AS n_missing, round(count(DISTINCT m.osm_way_id) * 1.0 / (SELECT count(*) FROM {ways}), 6) AS way_ratio FROM {row_matches} m LEFT JOIN {ways} w ON m.osm_way_id = w.osm_way_id",
      "SELECT count(*) AS n_rows, count(DISTINCT m.osm_way_id) AS n_ways, count(*) FILTER (w.osm_way_id IS NULL) AS n_missing, round(count(DISTINCT m.osm_way_id) * 1.0 / (SELECT count(*) FROM ways), 6) AS way_ratio FROM row_matches m LEFT JOIN ways w ON m.osm_way_id = w.osm_way_id")
 
 both("q74_windows_misc", "orders", "SELECT o_orderkey, o_custkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 9) AS share, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
-
-both("q70_legacy_compare", "segments", """WITH r AS (SELECT segment_id, speed_limit, CASE WHEN road_class IN ('motorway', 'trunk') AND is_divided THEN 'separated' WHEN has_vru_barrier THEN 'side_impact' WHEN road_class = 'motorway' AND f85_speed < 50 THEN 'suspect' ELSE 'head_on' END AS legacy,
-  CASE WHEN is_access_controlled AND NOT (coalesce(legal_motorcycle = 'no', false) OR has_motorcycle_separation) THEN 'motorcycle' WHEN is_access_controlled AND is_divided THEN 'separated' WHEN is_access_controlled THEN 'head_on' WHEN has_vru_barrier THEN 'side_impact' ELSE 'pedestrian' END AS now FROM {segments})
-SELECT legacy, now, count(*) AS n, sum(CASE WHEN legacy IS DISTINCT FROM now THEN 1 ELSE 0 END) AS n_differ FROM r GROUP BY legacy, now""")
