@@ -26,21 +26,31 @@ def _m(v: str) -> str:
     return f"CASE WHEN {v} IN ('yes', 'designated', 'permissive') THEN 'yes' WHEN {v} IN ('no', 'use_sidepath') THEN 'no' WHEN {v} IN ('private', 'destination', 'permit', 'customers') THEN 'restricted' WHEN {v} IS NOT NULL THEN 'unknown' END"
 
 
-def _mode(mode: str) -> str:
-    keys = list(reversed(access.HIERARCHY[mode]))
-    clean = [f"nullif(trim({k}), '')" for k in keys]
-    value = f"coalesce({', '.join(_m(c) for c in clean)}, {'CASE ' + ' '.join(f'''WHEN highway = '{h}' THEN '{v}' ''' for h, v in access.DEFAULTS[mode].items())} ELSE 'yes' END)"
-    basis = f"coalesce({', '.join(f'''CASE WHEN {c} IS NOT NULL THEN '{k}' END''' for k, c in zip(keys, clean, strict=True))}, 'default:class')"
-    return f"{value} AS legal_{mode}, {basis} AS legal_{mode}_basis, CASE WHEN {value} = 'unknown' OR {basis} = 'default:class' THEN 'low' WHEN {basis} = '{mode}' THEN 'high' ELSE 'medium' END AS legal_{mode}_confidence"
-
-
-ACCESS = f"resolved AS (SELECT *, {', '.join(map(_mode, access.HIERARCHY))} FROM ways)"
+def _mode(mode: str, keys: str, by_class: str, countries: tuple[tuple[str, str, str], ...] = ()) -> str:
+    """keys: from the most specific on; by_class: the value by road class; countries: (country, class, value) that differ."""
+    names = keys.split()
+    clean = [f"nullif(trim({k}), '')" for k in names]
+    own = " ".join(f"WHEN country = '{c}' AND highway = '{h}' THEN '{v}'" for c, h, v in countries)
+    own_basis = " ".join(f"WHEN country = '{c}' AND highway = '{h}' THEN 'default:{c}'" for c, h, _ in countries)
+    tagged = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN 'tag:{k}' END" for k, c in zip(names, clean, strict=True))
+    value = f"coalesce({', '.join(map(_m, clean))}, CASE {own} WHEN {by_class} THEN 'no' ELSE 'yes' END)"
+    basis = f"coalesce({tagged}, CASE {own_basis} WHEN true THEN 'default:base' END)"
+    return f"{value} AS legal_{mode}, {basis} AS legal_{mode}_basis, CASE WHEN {value} = 'unknown' OR {basis} LIKE 'default:%' THEN 'low' WHEN {basis} = 'tag:{mode}' THEN 'high' ELSE 'medium' END AS legal_{mode}_confidence"
+
+
+_RESOLVED = (
+    _mode("motor_vehicle", "motor_vehicle vehicle access", "highway IN ('footway', 'cycleway')"),
+    _mode("motorcycle", "motorcycle motor_vehicle vehicle access", "highway IN ('footway', 'cycleway')", (("thailand", "motorway", "no"), ("thailand", "footway", "restricted"))),
+    _mode("bicycle", "bicycle vehicle access", "highway IN ('footway', 'motorway')", (("maharashtra", "service", "restricted"),)),
+    _mode("foot", "foot access", "highway = 'motorway'"),
+)
+ACCESS = f"resolved AS (SELECT *, {', '.join(_RESOLVED)} FROM ways)"
 FLAGS = """
 way_flags AS (SELECT *, CASE WHEN highway = 'motorway' THEN 'osm_motorway' WHEN t_motorroad THEN 'osm_motorroad' END AS access_basis, t_dual OR (oneway IS NOT NULL AND oneway NOT IN ('no', '0', 'false')) AS is_divided_way,
   t_dual OR (highway IN ('motorway', 'trunk') AND coalesce(oneway = 'yes', false)) AS is_separated_legacy,
   coalesce(bridge IN ('boardwalk', 'construction', 'movable', 'viaduct', 'yes'), false) OR coalesce(tunnel IN ('building_passage', 'covered', 'culvert', 'yes'), false) OR coalesce(try_cast(split_part(layer, ';', 1) AS DOUBLE) <> 0, false) AS is_grade_separated_way,
   coalesce(t_sidewalk IN ('both', 'left', 'right', 'yes'), false) AS has_sidewalk, t_cycleway AS has_cycleway, CASE WHEN t_conditional THEN 'motorcar:conditional' ELSE '' END AS conditional_keys,
-  highway IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'unclassified', 'residential', 'living_street', 'road') AND NOT coalesce(access IN ('private', 'no', 'customers', 'delivery', 'permit', 'agricultural', 'forestry'), false) AND NOT coalesce(motor_vehicle IN ('private', 'no'), false) AS is_car_way FROM resolved)"""
+  highway IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'unclassified', 'residential', 'living_street', 'road') AND NOT coalesce(access IN ('private', 'no', 'customers', 'delivery', 'permit', 'agricultural', 'forestry'), false) AND NOT coalesce(motor_vehicle IN ('private', 'no'), false) AND NOT t_no_motorcar AS is_car_way FROM resolved)"""
 _LEGAL = [f"legal_{m}{x}" for m in access.HIERARCHY for x in ("", "_basis", "_confidence")]
 _FLAGS = ["access_basis", "is_divided_way", "is_separated_legacy", "is_grade_separated_way", "has_sidewalk", "has_cycleway", "conditional_keys", "is_car_way"]
 
@@ -59,14 +69,24 @@ def q67(spark, d):
     return _ways(spark, d).select("osm_way_id", *_FLAGS)
 
 
+_ROLLED = ("motor_vehicle", "motorcycle", "bicycle", "foot")
+_SUMS = ", ".join(f"coalesce(sum(l) FILTER (legal_{m} = '{v}'), 0) AS {m}_{v}" for m in _ROLLED for v in ("yes", "no", "restricted", "unknown"))
+_RUNGS = ", ".join(f"min(CASE legal_{m}_confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS {m}_rung" for m in _ROLLED)
+
+
+def _rolled(m: str) -> str:
+    safe = f"CASE WHEN {m}_yes > 0 THEN 'yes' WHEN {m}_restricted > 0 THEN 'restricted' WHEN {m}_no > 0 THEN 'no' ELSE 'unknown' END"
+    most = f"CASE greatest({m}_yes, {m}_no, {m}_restricted, {m}_unknown) WHEN {m}_yes THEN 'yes' WHEN {m}_no THEN 'no' WHEN {m}_restricted THEN 'restricted' ELSE 'unknown' END"
+    shares = ", ".join(f"round({m}_{v} / len, 6) AS legal_{m}_{v}_frac" for v in ("yes", "no", "restricted", "unknown"))
+    return f"{most if m == 'motor_vehicle' else safe} AS legal_{m}, CASE {m}_rung WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS legal_{m}_confidence, {shares}"
+
+
 @query(
     "q19_access_rollup",
-    f"WITH {WAYS}, {ACCESS}, {FLAGS}, {ROW_MATCHES}, j AS (SELECT m.*, legal_motorcycle AS v, CASE legal_motorcycle_confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS rung, has_sidewalk, access_basis, is_divided_way, matched_len_m::DOUBLE AS l FROM row_matches m LEFT JOIN way_flags USING (osm_way_id)),"
-    " s AS (SELECT segment_id, sum(l) AS len, " + ", ".join(f"coalesce(sum(l) FILTER (v = '{v}'), 0) AS len_{v}" for v in access.VALUES) + ", min(rung) AS rung, bool_or(has_sidewalk) AS any_sidewalk, coalesce(sum(l) FILTER (match_kind = 'exact'), 0) AS len_exact, count(DISTINCT osm_way_id) AS n_ways,"
+    f"WITH {WAYS}, {ACCESS}, {FLAGS}, {ROW_MATCHES}, j AS (SELECT m.*, way_flags.* EXCLUDE (osm_way_id), matched_len_m::DOUBLE AS l FROM row_matches m LEFT JOIN way_flags ON m.osm_way_id = way_flags.osm_way_id),"
+    f" s AS (SELECT segment_id, sum(l) AS len, {_SUMS}, {_RUNGS}, bool_or(has_sidewalk) AS any_sidewalk, coalesce(sum(l) FILTER (match_kind = 'exact'), 0) AS len_exact, count(DISTINCT osm_way_id) AS n_ways,"
     " coalesce(sum(l) FILTER (access_basis IS NOT NULL), 0) AS len_c, coalesce(sum(l) FILTER (is_divided_way), 0) AS len_d, bool_or(coalesce(access_basis = 'osm_motorroad', false)) AS mr FROM j GROUP BY segment_id)"
-    " SELECT segment_id, CASE WHEN len_yes > 0 THEN 'yes' WHEN len_restricted > 0 THEN 'restricted' WHEN len_no > 0 THEN 'no' WHEN len_unknown > 0 THEN 'unknown' END AS legal_motorcycle,"
-    " CASE greatest(len_yes, len_restricted, len_no, len_unknown) WHEN len_yes THEN 'yes' WHEN len_restricted THEN 'restricted' WHEN len_no THEN 'no' ELSE 'unknown' END AS legal_motorcycle_dominant, CASE rung WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS legal_motorcycle_confidence, "
-    + ", ".join(f"round(len_{v} / len, 6) AS frac_{v}" for v in access.VALUES) + ", any_sidewalk, round(len_exact / len, 6) AS exact_frac, n_ways, len_c / len >= 1 - 1e-9 AS is_access_controlled, len_d / len >= 0.95 AS is_divided,"
+    f" SELECT segment_id, {', '.join(map(_rolled, _ROLLED))}, any_sidewalk, round(len_exact / len, 6) AS exact_frac, n_ways, len_c / len >= 1 - 1e-9 AS is_access_controlled, len_d / len >= 0.95 AS is_divided,"
     " CASE WHEN len_c / len >= 1 - 1e-9 THEN CASE WHEN mr THEN 'osm_motorroad' ELSE 'osm_motorway' END END AS access_control_basis FROM s",
 )
 def q19(spark, d):

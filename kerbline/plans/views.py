@@ -37,7 +37,7 @@ points AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'school' WHEN 'clic
   ((6007 * event_id + 311) % 20011)::DOUBLE AS px, ((31 * event_id * event_id + 7901 * event_id + 97) % 20021)::DOUBLE AS py, value / 500 AS confidence, user_id, ts, value, props FROM events)"""
 
 WAYS = """
-ways AS (SELECT p_partkey AS osm_way_id,
+ways AS (SELECT p_partkey AS osm_way_id, CASE WHEN p_partkey % 2 = 0 THEN 'thailand' ELSE 'maharashtra' END AS country, p_partkey % 21 = 0 AS t_no_motorcar,
   CASE p_partkey % 7 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk' WHEN 2 THEN 'primary' WHEN 3 THEN 'residential' WHEN 4 THEN 'footway' WHEN 5 THEN 'cycleway' ELSE 'service' END AS highway,
   CASE p_partkey % 5 WHEN 0 THEN 'no' WHEN 1 THEN 'private' WHEN 2 THEN 'yes' END AS access,
   CASE p_partkey % 11 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN 'destination' WHEN 3 THEN 'strange' END AS vehicle,

@@ -108,6 +108,7 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One way per part, with promoted tags and the rest as JSON."""
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("osm_way_id"),
+        F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'thailand' ELSE 'maharashtra' END").alias("country"),
         F.expr("CASE p_partkey % 7 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk' WHEN 2 THEN 'primary' WHEN 3 THEN 'residential' WHEN 4 THEN 'footway' WHEN 5 THEN 'cycleway' ELSE 'service' END").alias("highway"),
         F.expr("CASE p_partkey % 5 WHEN 0 THEN 'no' WHEN 1 THEN 'private' WHEN 2 THEN 'yes' END").alias("access"),
         F.expr("CASE p_partkey % 11 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN 'destination' WHEN 3 THEN 'strange' END").alias("vehicle"),
@@ -122,7 +123,7 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(
             "concat('{', CASE WHEN p_partkey % 4 = 0 THEN '\"motorroad\":\"yes\",' ELSE '' END, CASE WHEN p_partkey % 6 = 0 THEN '\"sidewalk\":\"both\",' WHEN p_partkey % 6 = 1 THEN '\"sidewalk\":\"no\",' ELSE '' END,"
             " CASE WHEN p_partkey % 9 = 0 THEN '\"dual_carriageway\":\"yes\",' ELSE '' END, CASE WHEN p_partkey % 10 = 0 THEN '\"cycleway\":\"lane\",' ELSE '' END,"
-            " CASE WHEN p_partkey % 12 = 0 THEN '\"motorcar:conditional\":\"no @ (22:00-05:00)\",' ELSE '' END, '\"ref\":\"', p_partkey, '\"}')"
+            " CASE WHEN p_partkey % 21 = 0 THEN '\"motorcar\":\"no\",' ELSE '' END, CASE WHEN p_partkey % 12 = 0 THEN '\"motorcar:conditional\":\"no @ (22:00-05:00)\",' ELSE '' END, '\"ref\":\"', p_partkey, '\"}')"
         ).alias("tags"),
         F.col("p_retailprice").alias("length_m"),
         F.col("p_name").alias("name"),

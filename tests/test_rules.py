@@ -127,3 +127,15 @@ def test_rings_are_cut_at_the_widest_gap(spark):
     df = spark.createDataFrame([(r, i, x, 250.0) for r, xs in rings.items() for i, x in enumerate(xs)], "r int, i int, x double, len double")
     got = {(r["r"], r["i"]): r["unwrapped"] for r in network.unwrapped(df, "r", "x", "len").collect()}
     assert got == {(r, i): v for r, xs in rings.items() for i, v in enumerate(twin(xs, 250.0))}
+
+
+def test_access_by_tags_class_and_country(spark):
+    from kerbline.operators import access
+
+    rows = [("thailand", "motorway", None, None), ("maharashtra", "motorway", None, None), ("thailand", "primary", "No", None), ("thailand", "primary", "no", "designated"), ("thailand", "raceway", None, None), ("thailand", "path", None, None)]
+    df = spark.createDataFrame([(i, *r, None, None, None, None) for i, r in enumerate(rows)], "i int, country string, highway string, access string, motorcycle string, vehicle string, motor_vehicle string, foot string, bicycle string")
+    out = {r["i"]: r for r in access.add_access(df).collect()}
+    assert [tuple(out[i][f"legal_motorcycle{x}"] for x in ("", "_basis", "_confidence")) for i in range(5)] == [
+        ("no", "default:thailand", "low"), ("yes", "default:base", "low"), ("no", "tag:access", "medium"), ("yes", "tag:motorcycle", "high"), ("unknown", "default:unknown_highway", "low"),
+    ]
+    assert out[5]["legal_bicycle_basis"] == "default:incomplete_base" and out[3]["legal_motor_vehicle"] == "no"
