@@ -152,7 +152,8 @@ def search(vectors: np.ndarray, points: np.ndarray, keys: np.ndarray, queries: n
         for turn in range(len(buckets)):
             bucket = order[:, turn]
             kth = np.minimum(bound[rows], 2 - 2 * best[:, k - 1])
-            active = np.flatnonzero(gaps[np.arange(len(rows)), bucket] <= quantile * kth * (1 + 1e-9))
+            # neighbours of the same direction are at no distance, give or take the rounding
+            active = np.flatnonzero(gaps[np.arange(len(rows)), bucket] <= quantile * np.maximum(kth, 0) * (1 + 1e-9) + 1e-12)
             if not len(active):
                 break
             for b in np.unique(bucket[active]):

@@ -8,10 +8,11 @@ joined pair is then extended word by word to both sides, and counts when the com
 An item shorter than that length is one window of its own; for each such length n the same code runs with k = n and
 a window of one k-gram, which keeps every n-gram.
 
-Everything is a DataFrame expression.  Documents are read once and never shuffled: arrays of hashes are cut into
-overlapping segments of bounded length, fingerprints carry the few words around them that an extension can need, and
-the benchmark's fingerprints are broadcast in blocks of at most `BLOCK` rows, one after another, however many there are.
-Only hits are shuffled, by document.
+Everything is a DataFrame expression.  Texts are never shuffled: arrays of hashes are cut into overlapping segments of
+bounded length, fingerprints carry the few words around them that an extension can need, and the benchmark's
+fingerprints are broadcast in blocks of at most `BLOCK` rows of a fixed size, one after another, however many there are;
+documents are read once for each block and for each length of short items.  Which items hold a fingerprint is joined to
+the hits alone, so an item's fingerprints may be as common as they like.  Only hits are shuffled, by document.
 
 Defined results: a null text has no words; items without words match nothing; repeated rows of the documents give
 repeated rows; a repeated item id counts once; empty tables give empty results, or no hits; other columns are left out.
@@ -28,7 +29,7 @@ from .shared import cut
 
 LENGTH = 10
 K = 5
-#: Fingerprints of the benchmark that are broadcast at a time: about 200 bytes each.
+#: Fingerprints of the benchmark that are broadcast at a time: two numbers and the hashes of at most 15 words, 200 bytes.
 BLOCK = 200_000
 #: Words of a document that are handled as one array.
 SEGMENT = 8192
@@ -93,21 +94,23 @@ def _run(indices: list[int]) -> Column:
 
 
 def _hits(docs: DataFrame, grams: DataFrame, *, keys: list[str], text: str, k: int, length: int, marks: bool) -> DataFrame:
-    """Runs of `length` or more common words around joined fingerprints: keys, n, pos, first, last, items."""
+    """Runs of `length` or more common words around joined fingerprints: keys, n, pos, first, last, gram."""
     reach = length - k
     left, right = _run(list(range(reach - 1, -1, -1))), _run(list(range(reach + k, k + 2 * reach)))
     enough = reduce(lambda a, b: a & b, (_same(i) for i in range(reach, reach + k)), left + right + k >= length)
     prints = fingerprints(docs, keys=keys, text=text, k=k, length=length, always=marks)
     joined = prints.join(F.broadcast(grams), (F.col("h") == F.col("b_h")) & enough, "left" if marks else "inner")
     joined = joined.filter((F.col("pos") < 0) | F.col("b_h").isNotNull())
-    return joined.select(*keys, "n", "pos", (F.col("pos") - left).alias("first"), (F.col("pos") + k - 1 + right).alias("last"), "items")
+    return joined.select(*keys, "n", "pos", (F.col("pos") - left).alias("first"), (F.col("pos") + k - 1 + right).alias("last"), "gram")
 
 
 def _grams(items: DataFrame, *, item: str, text: str, k: int, length: int) -> DataFrame:
+    """Which items hold which fingerprints: b_h, b_ctx, gram (a hash of both), item."""
     prints = fingerprints(items, keys=[item], text=text, k=k, length=length, always=False)
     if length < LENGTH:
         prints = prints.filter(F.col("n") == length)
-    return prints.groupBy(F.col("h").alias("b_h"), F.col("ctx").alias("b_ctx")).agg(F.collect_set(F.col(item).cast("string")).alias("items"))
+    gram = F.xxhash64(F.lit(length), F.col("h"), F.col("ctx"))
+    return prints.select(F.col("h").alias("b_h"), F.col("ctx").alias("b_ctx"), gram.alias("gram"), F.col(item).cast("string").alias("item")).distinct()
 
 
 def covered(runs: Column) -> Column:
@@ -127,20 +130,23 @@ def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", ite
     keys = ["_key", "_text_hash"]
     common = {"keys": keys, "text": "_text"}
     sizes = items.select(F.size(words(F.col(text))).alias("n")).filter(F.col("n").between(1, LENGTH - 1)).distinct().collect()
-    found = []
+    found, members = [], []
     for short in [None, *sorted(row["n"] for row in sizes)]:
         scheme = {"k": short or k, "length": short or LENGTH}
-        grams = cut(_grams(items, item=item, text=text, **scheme), "grams")
+        held = cut(_grams(items, item=item, text=text, **scheme), "grams")
+        members.append(held.select("gram", "item"))
+        grams = held.select("b_h", "b_ctx", "gram").distinct()
         blocks = max(1, -(-grams.count() // BLOCK))
         for block in range(blocks):
             part = grams.filter(F.pmod(F.xxhash64("b_h"), F.lit(blocks)) == block) if blocks > 1 else grams
             found.append(_hits(keyed, part, marks=not short and not block, **common, **scheme))
     every = reduce(DataFrame.unionByName, found)
     run = F.when(F.col("pos") >= 0, F.struct("first", "last"))
-    one = every.groupBy(*keys).agg(
-        F.max("n").alias("n_words"), F.count_if(F.col("pos") < 0).alias("_rows"), F.collect_set(run).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
-    )
-    one = one.withColumn("n_hit", covered(F.col("runs")))
+    one = every.groupBy(*keys).agg(F.max("n").alias("n_words"), F.count_if(F.col("pos") < 0).alias("_rows"), F.collect_set(run).alias("runs"), F.collect_set("gram").alias("_grams"))
+    one = cut(one.withColumn("n_hit", covered(F.col("runs"))), "judged")
+    hits = one.filter(F.size("_grams") > 0).select(F.col("_key").alias("_k"), F.col("_text_hash").alias("_t"), F.explode("_grams").alias("gram"))
+    named = hits.join(reduce(DataFrame.unionByName, members), "gram").groupBy("_k", "_t").agg(F.collect_set("item").alias("items"))
+    one = one.join(named, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_t")), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return one.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))).select(F.col("_key").alias(key), "n_words", "n_hit", "runs", "items")
 
 
