@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access
 from ..sources import tables
-from .views import EDGES, ROW_MATCHES, SEGMENTS, WAYS
+from .views import EDGES, POINTS, ROW_MATCHES, SEGMENTS, WAYS
 
 QUERIES, SQL = {}, {}
 
@@ -114,16 +114,22 @@ def q20(spark, d):
 
 @query(
     "q32_junction_degree",
-    f"WITH {SEGMENTS}, {EDGES}, ends AS (SELECT parent_id, road_class, floor(x1 / 100) AS x, floor(y1 / 100) AS y FROM edges UNION ALL SELECT parent_id, road_class, floor(x2 / 100), floor(y2 / 100) FROM edges), d AS (SELECT x, y, count(*) AS degree, count(DISTINCT parent_id) AS n_ways, list_sort(list(DISTINCT road_class)) AS road_classes FROM ends GROUP BY x, y)"
-    " SELECT x, y, degree, array_to_string(road_classes, ';') AS road_classes, coalesce(controls, 0) AS controls FROM d LEFT JOIN (SELECT (event_id * 7) % 200 AS x, count(*) AS controls FROM events WHERE event_type = 'error' GROUP BY ALL) USING (x) WHERE degree >= 3 AND n_ways >= 2",
+    f"WITH {SEGMENTS}, {EDGES}, {POINTS}, ends AS (SELECT parent_id, road_class, floor(x1 / 100)::BIGINT AS x, floor(y1 / 100)::BIGINT AS y FROM edges UNION ALL SELECT parent_id, road_class, floor(x2 / 100)::BIGINT, floor(y2 / 100)::BIGINT FROM edges),"
+    " d AS (SELECT x, y, count(*) AS degree, list_sort(list(DISTINCT road_class)) AS road_classes FROM ends GROUP BY x, y HAVING count(*) >= 3 AND count(DISTINCT parent_id) >= 2),"
+    " c AS (SELECT floor(px / 100)::BIGINT AS x, floor(py / 100)::BIGINT AS y, count(*) AS controls FROM points WHERE category = 'junction' GROUP BY 1, 2), keys AS (SELECT x, y FROM d UNION SELECT x, y FROM c)"
+    " SELECT x, y, coalesce(degree, 0) AS degree, coalesce(array_to_string(road_classes, ';'), '') AS road_classes, coalesce(controls, 0) AS controls FROM keys LEFT JOIN d USING (x, y) LEFT JOIN c USING (x, y)",
 )
 def q32(spark, d):
-    """Cells of 100 m where at least three ends of edges of at least two ways meet, with their classes and the controls beside them."""
+    """Cells of 100 m where at least three ends of edges of at least two ways meet, or where a control stands, with what each has."""
     e = tables.edges(spark, d)
     ends = e.select("parent_id", "road_class", F.explode(F.array(*[F.struct(F.floor(F.col(f"x{i}") / 100).alias("x"), F.floor(F.col(f"y{i}") / 100).alias("y")) for i in (1, 2)])).alias("v")).select("parent_id", "road_class", "v.x", "v.y")
     nodes = ends.groupBy("x", "y").agg(F.count(F.lit(1)).alias("degree"), F.count_distinct("parent_id").alias("n"), F.array_join(F.array_sort(F.collect_set("road_class")), ";").alias("road_classes"))
-    controls = tables.table(spark, d, "events").filter("event_type = 'error'").groupBy(F.expr("(event_id * 7) % 200").alias("x")).agg(F.count(F.lit(1)).alias("controls"))
-    return nodes.filter("degree >= 3 AND n >= 2").join(controls, "x", "left").select("x", "y", "degree", "road_classes", F.coalesce("controls", F.lit(0)).alias("controls"))
+    nodes = nodes.filter("degree >= 3 AND n >= 2").drop("n")
+    cell = [F.floor(F.col(c) / 100).alias(n) for c, n in (("px", "x"), ("py", "y"))]
+    controls = tables.points(spark, d).filter("category = 'junction'").select(*cell).groupBy("x", "y").agg(F.count(F.lit(1)).alias("controls"))
+    keys = nodes.select("x", "y").union(controls.select("x", "y")).distinct()
+    both = keys.join(nodes, ["x", "y"], "left").join(controls, ["x", "y"], "left")
+    return both.select("x", "y", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("road_classes", F.lit("")).alias("road_classes"), F.coalesce("controls", F.lit(0)).alias("controls"))
 
 
 @query(

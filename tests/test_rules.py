@@ -139,3 +139,39 @@ def test_access_by_tags_class_and_country(spark):
         ("no", "default:thailand", "low"), ("yes", "default:base", "low"), ("no", "tag:access", "medium"), ("yes", "tag:motorcycle", "high"), ("unknown", "default:unknown_highway", "low"),
     ]
     assert out[5]["legal_bicycle_basis"] == "default:incomplete_base" and out[3]["legal_motor_vehicle"] == "no"
+
+
+def test_catalogues(spark, tmp_path):
+    from kerbline.sources import catalogs
+
+    good = tmp_path / "w.csv"
+    good.write_text("object,b,c,d,foot,bike\nsign,,,,0.5,\nbench,,,,0,0\nramp,,,,1,0.25\n")
+    assert sorted(map(tuple, catalogs.read_weights(spark, str(good)).collect())) == [("ramp", 1.0, 0.25), ("sign", 0.5, 0.0)]
+    for bad in ("sign,,,,2,0", "sign,,,,x,0", "sign,,,,0.1,0\nsign,,,,0.2,0"):
+        path = tmp_path / "bad.csv"
+        path.write_text(f"object,b,c,d,foot,bike\n{bad}\n")
+        with pytest.raises(Exception, match="weight|twice"):
+            catalogs.read_weights(spark, str(path)).collect()
+    folder = tmp_path / "d"
+    folder.mkdir()
+    feature = lambda i, v: {"id": "x", "properties": {"image_id": i, "object_value": v}}
+    (folder / "s1.geojson").write_text(json.dumps({"features": [feature("i1", "bench"), feature("i1", "sign"), feature("i2", "ramp")]}))
+    (folder / "s2.geojson").write_text(json.dumps({"features": [feature("i2", "bench")]}))
+    (folder / "s3.geojson").write_text(json.dumps({"features": []}))
+    rows, segments = catalogs.read_detections(spark, str(folder))
+    assert sorted(map(tuple, rows.collect())) == [("i1", "bench", "s1"), ("i2", "ramp", "s1")] and {r["segment_id"] for r in segments.collect()} == {"s1", "s2", "s3"}
+    spark.range(3).write.parquet(f"{tmp_path}/p/a_part1.parquet")
+    spark.range(3, 5).write.parquet(f"{tmp_path}/p/a_part2.parquet")
+    assert catalogs.read_parts(spark, f"{tmp_path}/p", columns=["id"]).count() == 5
+    with pytest.raises(FileNotFoundError):
+        catalogs.read_parts(spark, f"{tmp_path}/p", "*_none*.parquet")
+
+
+def test_tags_stamps_and_curves(spark):
+    from kerbline.sources import catalogs
+
+    row = spark.sql("SELECT map('a', '1', 'b', '2') AS m, map('b', CAST(NULL AS STRING), 'c', '3') AS p, TIMESTAMP '2024-01-02 03:04:05' AS t, 800D AS x")
+    out = row.select(
+        catalogs.merged_tags(F.col("m"), F.col("p")).alias("m"), catalogs.iso_stamp(F.col("t")).alias("t"), catalogs.logistic(F.col("x")).alias("one"), catalogs.logistic(-F.col("x")).alias("none"), catalogs.logit(catalogs.logistic(F.lit(1.5))).alias("back")
+    ).first()
+    assert out["m"] == {"a": "1", "c": "3"} and out["t"] == "2024-01-02T03:04:05Z" and out["one"] == 1.0 and 0 <= out["none"] < 1e-300 and math.isclose(out["back"], 1.5, rel_tol=1e-6)
