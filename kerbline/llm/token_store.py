@@ -11,7 +11,7 @@ piece is encoded once per worker, and a text in which a cut might not be safe is
 of pieces is bounded; what does not fit is encoded again each time.
 
 Defined results: a null text counts as empty and is the end id alone; a null id sorts first; repeated rows are stored as
-often as they come, rows of one id in the order of their texts; an empty table gives an empty result; other columns
+often as they come, rows of one id side by side, in the order of their texts within a range; an empty table gives an empty result; other columns
 are left out.
 """
 
@@ -254,8 +254,8 @@ def encode(docs: DataFrame, tokenizer_file: str, *, key: str = "doc_id", text: s
     """The rows of the file format, one per block; rows go in the order of the given column, or of their ids."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.col(order).alias("place")] if order else []))
     by = ["place", "key"] if order else ["key"]
-    # a beginning of the text parts the rows of one id
-    ordered = rows.repartitionByRange(*by, F.substring("text", 1, 16)).sortWithinPartitions(*by, "text").select("key", "text")
+    # the place in the input parts the rows of one id, and costs the sample of the ranges no text
+    ordered = rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(*by, "_at").sortWithinPartitions(*by, "text").select("key", "text")
     return ordered.mapInArrow(_encode_shard(tokenizer_file, end), BLOCKS)
 
 
