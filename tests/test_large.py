@@ -21,3 +21,16 @@ def test_ranges_are_parted_in_one_walk(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == sorted(want.itertuples(index=False, name=None))
     monkeypatch.setattr(iterate, "midpoint_partition", _no_kernel)
     assert graph.q64(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_search_for_the_nearest_begins_at_the_spacing_of_points(spark, monkeypatch):
+    radii, old = [], spatial.points_within
+    monkeypatch.setattr(spatial, "points_within", lambda a, b, r: radii.append(r) or old(a, b, r))
+    rng = np.random.default_rng(6)
+    a, b = [(i, *map(float, x)) for i, x in enumerate(rng.integers(0, 1000, (40, 2)))], [(i, *map(float, x)) for i, x in enumerate(rng.integers(0, 1000, (2000, 2)))]
+    one, two = spark.createDataFrame(a, "a int, ax double, ay double"), spark.createDataFrame(b, "b int, px double, py double")
+    got = {r["a"]: (r["b"], r["dist"]) for r in spatial.expanding_nearest(one, two, "a", "b", 500.0).collect()}
+    for i, x, y in a:
+        dist, at = min((((x - px) ** 2 + (y - py) ** 2) ** 0.5, j) for j, px, py in b)
+        assert got[i][0] == at and abs(got[i][1] - dist) < 1e-9
+    assert radii[0] < 60
