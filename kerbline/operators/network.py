@@ -33,16 +33,36 @@ def touching(edges: DataFrame, key: str, tolerance: float = 1.0) -> DataFrame:
     return met.filter(F.col(key) != F.col("_own")).select(F.col("_own").alias(key), "end", F.col(key).alias("other"))
 
 
-def continuing(edges: DataFrame, key: str, tolerance: float = 1.0) -> DataFrame:
-    """(key, end, other, other_end, turn): ends of other edges within the tolerance, with the angle (0: straight on)."""
-    found = ends(edges, key)
+def continuing(edges: DataFrame, key: str, tolerance: float = 1.0, among: DataFrame | None = None) -> DataFrame:
+    """(key, end, other, other_end, turn): ends of other edges (of `among`, if given) within the tolerance, with the angle (0: straight on)."""
+    found, others = ends(edges, key), ends(edges if among is None else among, key)
     one = found.select(key, "end", F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("dx").alias("_ux"), F.col("dy").alias("_uy"))
-    two = found.select(F.col(key).alias("other"), F.col("end").alias("other_end"), "px", "py", "dx", "dy")
+    two = others.select(F.col(key).alias("other"), F.col("end").alias("other_end"), "px", "py", "dx", "dy")
     met = spatial.points_within(one, two, tolerance).filter(F.col(key) != F.col("other"))
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -(F.col("_ux") * F.col("dx") + F.col("_uy") * F.col("dy"))))
     return met.select(key, "end", "other", "other_end", F.acos(cosine).alias("turn"))
 
 
+def possible_humps(edges: DataFrame, key: str, value: str, eligible: Column, tolerance: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """touching() and along(continuing()) of the eligible edges that lower_humps() can ever lower.
+
+    Values never rise.  An edge of the least value of all has none below it, and one that touches an edge of no lower
+    value which itself never moves stays for good; neither needs its neighbours.
+    """
+    least = edges.agg(F.min(value)).first()[0]
+    shape = [key, "x1", "y1", "x2", "y2"]
+    can = F.coalesce(eligible & (F.col(value) > F.lit(least)), F.lit(False))
+    asked = ends(edges.filter(can), key).select(key, "px", "py").join(edges.filter(can).select(key, F.col(value).alias("_v")), key)
+    fixed = edges.filter(~can & (F.col(value) > F.lit(least))).select("x1", "y1", "x2", "y2", F.col(value).alias("_w"))
+    held = spatial.pairs_within(fixed, asked, F.lit(tolerance), 2 * CELL).filter("_w >= _v").select(key).distinct()
+    movable = staged(edges.filter(can).select(*shape).join(held, key, "left_anti"), "movable")
+    points = ends(movable, key).select(F.col(key).alias("_own"), "end", "px", "py")
+    # a hair wider, as ends within the tolerance must be among these whatever the rounding of the distance
+    near = staged(spatial.pairs_within(edges.select(*shape), points, F.lit(tolerance * (1 + 1e-6)), 2 * CELL).filter(F.col(key) != F.col("_own")), "near")
+    touched = near.filter(F.col("dist") <= tolerance).select(F.col("_own").alias(key), "end", F.col(key).alias("other"))
+    return touched, along(continuing(movable, key, tolerance, near.select(*shape).distinct()), key)
+
+
 def along(continued: DataFrame, key: str) -> DataFrame:
     """(key, before, after): what turns least from each of the two ends, for edges that continue at both."""
     best = continued.groupBy(key, "end").agg(F.min_by("other", F.struct(F.round("turn", 9), F.col("other"))).alias("_o"))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.operators import iterate, scoring, spatial
+from kerbline.operators import iterate, network, scoring, spatial
 from kerbline.plans import graph, relational
 
 
@@ -93,3 +93,15 @@ def test_fields_of_large_ids_equal_the_sql(spark, tmp_path):
     names = [c[0] for c in want.description]
     got = relational.QUERIES["q49_field_normalise"](spark, str(tmp_path)).select(*names)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_only_possible_humps_ask_for_neighbours(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"{n}-{k}", float(rng.choice([30, 50, 50, 70])), bool(rng.random() < 0.2), 60.0 * k, 500.0 * n, 60.0 * (k + 1), 500.0 * n) for n in range(8) for k in range(12)]
+    df = spark.createDataFrame(rows, "id string, v double, fixed boolean, x1 double, y1 double, x2 double, y2 double")
+    free = ~F.col("fixed")
+    some, sides = network.possible_humps(df, "id", "v", free)
+    every = network.touching(df, "id"), network.along(network.continuing(df, "id"), "id")
+    assert some.select("id").distinct().count() < sum(not r[2] for r in rows) * 2 / 3
+    few, all_ = [{r["id"]: r["v_lowered"] for r in network.lower_humps(df, *x, key="id", value="v", eligible=free)[0].collect()} for x in ((some, sides), every)]
+    assert few == all_ and all_ != {r[0]: r[1] for r in rows}
