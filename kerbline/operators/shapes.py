@@ -124,10 +124,11 @@ def near_starts(x: np.ndarray, y: np.ndarray, asked: np.ndarray, reach: float) -
         done = upto
 
 
-def _matched(near: float, most: float, step: float, schema: pa.Schema) -> Callable:
+def _matched(near: float, most: float, step: float) -> Callable:
     """A tile's lines (_key, _line, _home) to the pairs that begin at one of its own."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         keys, home = table["_key"].combine_chunks(), table["_home"].to_numpy()
         line = table["_line"].combine_chunks()
         line = line.chunk(0) if isinstance(line, pa.ChunkedArray) else line
@@ -137,7 +138,6 @@ def _matched(near: float, most: float, step: float, schema: pa.Schema) -> Callab
         _, rank = np.unique(keys.to_numpy(zero_copy_only=False), return_inverse=True)
         at = np.cumsum(many) - many
         hx, hy = x[at], y[at]
-        found = []
         for a, b in near_starts(hx, hy, np.flatnonzero(home), near):
             fit = (rank[a] < rank[b]) & (np.sqrt((hx[a] - hx[b]) * (hx[a] - hx[b]) + (hy[a] - hy[b]) * (hy[a] - hy[b])) <= near)
             a, b = a[fit], b[fit]
@@ -147,9 +147,7 @@ def _matched(near: float, most: float, step: float, schema: pa.Schema) -> Callab
             left = np.flatnonzero(~lines.walked(a, b, value))
             value[left] = lines.frechet(a[left], b[left])
             fit = value <= most
-            found.append((a[fit], b[fit], value[fit]))
-        a, b, value = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table([keys.take(pa.array(a)), keys.take(pa.array(b)), pa.array(value)], names=schema)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(a[fit])), keys.take(pa.array(b[fit])), pa.array(value[fit])], names=["a", "b", "frechet"])
 
     return run
 
@@ -170,4 +168,4 @@ def frechet_within(lines: DataFrame, key: str, line: str, near: float, most: flo
     kind = lines.schema[key].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("frechet", T.DoubleType())])
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, "_tx", "_ty").groupBy("_tx", "_ty").applyInArrow(_matched(near, most, step, ["a", "b", "frechet"]), schema)
+    return df.repartition(tasks, "_tx", "_ty").groupBy("_tx", "_ty").applyInArrow(_matched(near, most, step), schema)

@@ -192,7 +192,7 @@ def test_like_shapes_are_those_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(shapes, "PAIRS", 7)
     monkeypatch.setattr(shapes, "BLOCK", 50)
     rows = pa.table({"_key": list(range(len(lines))), "_line": pa.array([[{"x": x, "y": y} for x, y in line] for line in lines]), "_home": [True] * len(lines)})
-    few = shapes._matched(20.0, 60.0, 5.0, ["a", "b", "frechet"])(rows).to_pylist()
+    few = pa.Table.from_batches(shapes._matched(20.0, 60.0, 5.0)(iter(rows.to_batches()))).to_pylist()
     assert {(r["a"], r["b"]): r["frechet"] for r in few} == want
 
 
@@ -201,5 +201,5 @@ def test_straight_lines_need_no_table_of_gaps(monkeypatch):
     monkeypatch.setattr(shapes.Lines, "frechet", lambda self, a, b: asked.append(len(a)) or old(self, a, b))
     lines = [[{"x": float(x + 60 * k * (i % 2)), "y": float(y + 60 * k * (1 - i % 2))} for k in range(n)] for i, (x, y, n) in enumerate(zip(*rng.integers(0, 90, (2, 200)).tolist(), rng.integers(1, 8, 200).tolist(), strict=True))]
     rows = pa.table({"_key": list(range(200)), "_line": pa.array(lines), "_home": [True] * 200})
-    found = shapes._matched(100.0, 150.0, 5.0, ["a", "b", "frechet"])(rows)
+    found = pa.Table.from_batches(shapes._matched(100.0, 150.0, 5.0)(iter(rows.to_batches())))
     assert found.num_rows > 3000 and sum(asked) < found.num_rows / 10
