@@ -81,13 +81,14 @@ class Rows:
         off = np.where(vague, 8 * (r + length) + off, off)
         at = first[:, None] + np.arange(most + 1)
         y = self.y0 + at * c
-        low = np.sqrt(np.maximum(r * r - (y - col(yl)) ** 2, 0))
-        high = np.sqrt(np.maximum(r * r - (y - col(yu)) ** 2, 0))
         if straight:  # along an axis: a circle's rim but for a shift, with a level top and bottom
-            reach = np.where(y < col(yl), low, np.where(y > col(yu), high, r))
+            gap = y - np.minimum(np.maximum(y, col(yl)), col(yu))
+            reach = np.sqrt(np.maximum(r * r - gap * gap, 0))
             left, right = col(xl) - reach, col(xu) + reach
             full = np.where(reach > col(off), right, col(xl))
         else:
+            low = np.sqrt(np.maximum(r * r - (y - col(yl)) ** 2, 0))
+            high = np.sqrt(np.maximum(r * r - (y - col(yu)) ** 2, 0))
             a, b = yl + r * ux, yl - r * ux
             left = np.where(y < col(a), col(xl) - low, np.where(y > col(yu + r * ux), col(xu) - high, col(xl - r * uy - a * slope) + y * col(slope)))
             right = np.where(y < col(b), col(xl) + low, np.where(y > col(yu - r * ux), col(xu) + high, col(xl + r * uy - b * slope) + y * col(slope)))
@@ -205,15 +206,17 @@ def _walk(kept: list[str], kinds: Sequence[str], flags: list[str]) -> Callable:
     return run
 
 
-def counts_around(edges: DataFrame, points: DataFrame, key: str, kind: str, kinds: Sequence[str], radius: Column, radii: Sequence[float]) -> DataFrame:
+def counts_around(edges: DataFrame, points: DataFrame, key: str, kind: str, kinds: Sequence[str], radius: Column, radii: Sequence[float], keep: Sequence[str] | None = None) -> DataFrame:
     """edges (x1, y1, x2, y2) with `is_<kind>` for each of the kinds, and the numbers of points (px, py) and of their kinds.
 
+    Of the edges' columns those in keep are returned, all by default; each costs, as it goes through the tasks.
+
     A point counts if it is at most the edge's radius away; the radius is one of radii, all above zero, and with another
     or none, as with coordinates that are null or not finite, an edge has no points.  key names an edge.
     """
-    flags, kept = [f"is_{k}" for k in kinds], edges.columns
+    flags, kept = [f"is_{k}" for k in kinds], list(edges.columns if keep is None else keep)
     names = [*flags, "poi_count", "poi_category_count"]
-    edges = staged(edges.withColumn("_r", radius.cast("double")), "edges")
+    edges = staged(edges.withColumn("_r", radius.cast("double")).select(*dict.fromkeys([*kept, key, "x1", "y1", "x2", "y2", "_r"])), "edges")
     under = lambda most, *cols: F.expr(" AND ".join(f"{c} IS NOT NULL AND abs({c}) < double('{most}')" for c in cols))
     there = under("Infinity", "x1", "y1", "x2", "y2") & F.coalesce(F.col("_r").isin(*map(float, radii)), F.lit(False))
     tiled = there & under(FAR, "x1", "y1", "x2", "y2") & F.expr("greatest(abs(x2 - x1), abs(y2 - y1)) <= _r")
@@ -237,5 +240,5 @@ def counts_around(edges: DataFrame, points: DataFrame, key: str, kind: str, kind
         return out
     met = reduce(DataFrame.unionByName, [spatial.pairs_within(far.filter(F.col("_r") == float(r)).select(key, "x1", "y1", "x2", "y2"), points.select(kind, "px", "py"), F.lit(float(r)), float(r)) for r in radii])
     found = met.groupBy(key).agg(*[F.bool_or(F.col(kind) == k).alias(f) for k, f in zip(kinds, flags, strict=True)], F.count(F.lit(1)).alias("poi_count"), F.count_distinct(kind).alias("poi_category_count"))
-    rest = far.drop("_r").join(found, key, "left").select(*kept, *[F.coalesce(f, F.lit(False)).alias(f) for f in flags], *[F.coalesce(c, F.lit(0)).alias(c) for c in names[-2:]])
+    rest = far.join(found, key, "left").select(*kept, *[F.coalesce(f, F.lit(False)).alias(f) for f in flags], *[F.coalesce(c, F.lit(0)).alias(c) for c in names[-2:]])
     return out.unionByName(rest)
